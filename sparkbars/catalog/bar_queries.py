@@ -29,9 +29,9 @@ def bars_hourly(spark, sf):
     return rounded(event_bars(spark, sf, HOUR))
 
 
-@register("bars_daily", ctes(DAILY_BARS_SQL) + f"SELECT symbol, pos, open_time, {r6(PRICES)}, trades_count FROM bars")
+@register("bars_daily", ctes(DAILY_BARS_SQL) + "SELECT * FROM bars")
 def bars_daily(spark, sf):
-    return rounded(daily_bars(spark, sf))
+    return daily_bars(spark, sf)
 
 
 @register(

@@ -106,7 +106,7 @@ feat AS (
     CASE WHEN close > 0 THEN coalesce((entry_high - entry_low) / close, 0) ELSE 0 END AS channel_width_pct,
     coalesce(ret_5, 0) AS ret_5, coalesce(ret_10, 0) AS ret_10, coalesce(ret_30, 0) AS ret_30,
     coalesce(taker_buy_ratio, 0.5) AS taker_buy_ratio,
-    CASE WHEN ma > 0 AND close / ma > 1.01 THEN 1 WHEN ma > 0 AND close / ma < 0.99 THEN -1 ELSE 0 END AS trend_direction,
+    CASE WHEN ma > 0 AND close / ma > 1.01 THEN 1::DOUBLE WHEN ma > 0 AND close / ma < 0.99 THEN -1::DOUBLE ELSE 0::DOUBLE END AS trend_direction,
     CASE WHEN ma > 0 THEN close / ma ELSE 1 END AS ma_ratio,
     CAST((open_time // 3600000) % 24 AS DOUBLE) AS hour_of_day
   FROM {source})
