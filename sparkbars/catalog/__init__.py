@@ -3,7 +3,13 @@
 
 def load():
     """(queries, SQL twins) by name."""
-    from sparkbars.catalog import bar_queries, event_queries, trade_queries  # noqa: F401
+    from sparkbars.catalog import (  # noqa: F401
+        bar_queries,
+        event_queries,
+        model_queries,
+        stream_queries,
+        trade_queries,
+    )
     from sparkbars.catalog.registry import ORACLES, QUERIES
 
     return dict(QUERIES), dict(ORACLES)

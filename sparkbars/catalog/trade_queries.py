@@ -524,8 +524,8 @@ def order_admission(spark, sf):
 
 @register(
     "order_intents",
-    _SIG + """SELECT symbol, pos, round(round(entry_price, 2), 6) AS price, round(round(stop, 2), 6) AS stop_price,
-      floor(least(10000 * 0.02::DOUBLE / abs(entry_price - stop), 10000 * 20::DOUBLE / entry_price) * 1000) / 1000 AS quantity,
+    _SIG + """SELECT symbol, pos, round(round(entry_price * 100) / 100, 6) AS price, round(stop, 6) AS stop_price,
+      floor(floor(least(10000 * 0.02::DOUBLE / abs(entry_price - stop), 10000 * 20::DOUBLE / entry_price) * 1000) / 1000 * 1000) / 1000 AS quantity,
       CASE WHEN side = 1 THEN 'BUY' ELSE 'SELL' END AS action, 'donchian_low' AS indicator, 10 AS period,
       CASE WHEN pos % 2 = 0 THEN round(entry_price * 2, 6) END AS take_profit, pos % 2 = 0 AS has_take_profit FROM ent""",
 )
@@ -535,7 +535,7 @@ def order_intents(spark, sf):
     price, qty = O.exchange_rounding(F.col("close"), raw)
     intent = O.order_intent(
         F.when(F.col("signal") == 1, "BUY").otherwise("SELL"), F.col("symbol"), qty, price,
-        Z.round_price(F.col("stop_price")), F.col("pos").cast("double"), period=10,
+        F.col("stop_price"), F.col("pos").cast("double"), period=10,
         take_profit=F.when(F.col("pos") % 2 == 0, F.col("close") * 2),
     )
     text = e.select("symbol", "pos", O.intent_json(intent).alias("js"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Quantity and price steps of the exchange.
 QTY_STEPS_PER_UNIT = 1000
-PRICE_DIGITS = 2
+PRICE_TICKS_PER_UNIT = 100
 
 # (equity, entry price, stop price, atr, atr multiple) -> size
 ScalarSizer = Callable[[float, float, float | None, float | None, float], float]
@@ -92,7 +92,7 @@ def stop_distance_size(
 
 
 def round_price(price: Column) -> Column:
-    return F.round(price, PRICE_DIGITS)
+    return F.round(price * PRICE_TICKS_PER_UNIT) / PRICE_TICKS_PER_UNIT
 
 
 def floor_quantity(quantity: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkbars.operators.ranks import average_rank, quantiles, value_counts
 from sparkbars.operators.running import row_index
+from sparkbars.session import cut
 
 # Acceptance limits of the evaluation.
 IC_THRESHOLD = 0.03
@@ -19,9 +21,9 @@ MIN_IC_ROWS = 10
 MIN_AUC_ROWS = 5
 
 
-def _valid(df: DataFrame, score: str, target: str) -> DataFrame:
+def _valid(df: DataFrame, score: str, target: str, keys: Sequence[str] = ()) -> DataFrame:
     s, t = F.col(score).cast("double"), F.col(target).cast("double")
-    both = df.select(s.alias("score"), t.alias("target"))
+    both = df.select(*keys, s.alias("score"), t.alias("target"))
     return both.filter(~F.isnan("score") & ~F.isnan("target") & F.col("score").isNotNull() & F.col("target").isNotNull())
 
 
@@ -67,32 +69,38 @@ def _p_value(ic: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(r) else correlation_p_value(float(r), int(k)) for r, k in zip(ic, n)])
 
 
-def rank_ic(df: DataFrame, score: str, target: str, threshold: float = IC_THRESHOLD) -> DataFrame:
-    """One row (n, ic, p_value, pass): Spearman correlation with average ranks for ties.
+def rank_ic(
+    df: DataFrame, score: str, target: str, threshold: float = IC_THRESHOLD, keys: Sequence[str] = ()
+) -> DataFrame:
+    """(n, ic, p_value, pass) per key: Spearman correlation, ties sharing their mean rank.
 
-    Fewer than ten usable rows give (0, 1, false).
+    Fewer than ten usable rows give (0, 1, false); without keys there is always one row.
     """
-    pairs = _valid(df, score, target)
-    weighted = pairs.groupBy("score", "target").agg(F.count(F.lit(1)).alias("w"))
-    ranked = weighted
+    keys = list(keys)
+    pairs = cut(
+        _valid(df, score, target, keys).groupBy(*keys, "score", "target").agg(F.count(F.lit(1)).alias("w"))
+    )
+    ranked = pairs
     for name in ("score", "target"):
-        ranks = value_counts(pairs, name).select(name, average_rank().alias(f"_r_{name}"))
-        ranked = ranked.join(ranks, name)
-    n = F.sum("w")
-    # Both ranks have mean (n + 1) / 2, so centring needs only n; sums of centred products cannot cancel.
-    total = weighted.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n")).scalar()
-    mean = (total + 1) / 2
+        ranks = value_counts(pairs, name, keys, weight="w").select(*keys, name, average_rank().alias(f"_r_{name}"))
+        ranked = ranked.join(ranks, [*keys, name])
+    # Both ranks have mean (n + 1) / 2, so only n is needed to centre them, and the sums cannot cancel.
+    if keys:
+        ranked = ranked.join(pairs.groupBy(*keys).agg(F.sum("w").alias("_n")), keys)
+    else:
+        ranked = ranked.withColumn("_n", pairs.agg(F.sum("w").alias("n")).scalar())
+    mean = (F.col("_n") + 1) / 2
     x, y, w = F.col("_r_score") - mean, F.col("_r_target") - mean, F.col("w")
-    sums = ranked.agg(
-        F.coalesce(n, F.lit(0)).alias("n"),
+    sums = ranked.groupBy(*keys).agg(
+        F.coalesce(F.sum("w"), F.lit(0)).alias("n"),
         F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"),
     )
     enough = F.col("n") >= MIN_IC_ROWS
     measured = sums.select(
-        "n", F.when(enough, F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))).alias("_ic")
+        *keys, "n", F.when(enough, F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))).alias("_ic")
     ).withColumn("_p", _p_value("_ic", "n"))
     return measured.select(
-        "n",
+        *keys, "n",
         F.when(enough, F.col("_ic")).otherwise(F.lit(0.0)).alias("ic"),
         F.when(enough, F.col("_p")).otherwise(F.lit(1.0)).alias("p_value"),
         F.coalesce(enough & (F.abs("_ic") > threshold) & (F.col("_p") < P_THRESHOLD), F.lit(False)).alias("pass"),

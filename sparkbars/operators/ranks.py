@@ -16,12 +16,16 @@ from sparkbars.operators.running import Running, running
 from sparkbars.session import cut
 
 
-def value_counts(df: DataFrame, value: str, keys: Sequence[str] = (), **weights: Column) -> DataFrame:
+def value_counts(
+    df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None, **weights: Column
+) -> DataFrame:
     """One row per (keys, value) with ``n`` and the summed ``weights``, each also accumulated up to the value.
 
+    ``weight`` names a column of row counts when ``df`` is already grouped.
+
     Adds ``cum_<name>`` (inclusive) per counted column. NULL values are left out.
     """
-    sums = {"n": F.count(F.lit(1)), **{k: F.sum(v) for k, v in weights.items()}}
+    sums = {"n": F.sum(weight) if weight else F.count(F.lit(1)), **{k: F.sum(v) for k, v in weights.items()}}
     distinct = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(k) for k, c in sums.items()])
     )
