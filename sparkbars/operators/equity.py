@@ -1,14 +1,16 @@
 """Equity curves of trades and the metrics of a run.
 
-Equity moves only while a position is open. Metrics therefore read the bars inside
-trades and account for the flat bars by counting them; the dense curve exists for
-those who want every bar.
+Equity moves only while a position is open. Metrics therefore look at the bars inside
+trades, one row per trade and block of bars, and account for the flat bars by counting
+them; the dense curve exists for those who want every bar.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,33 +35,68 @@ def _unrealized(side: Column, close: Column, entry: Column, size: Column) -> Col
     return side * (close - entry) * size
 
 
-def trade_bars(trades: DataFrame, bars: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Equity at and before every bar after an entry, up to its exit or the end of data.
+_BLOCK_STATS = (
+    "highest double, lowest double, worst double, last_equity double, ret_sum double, ret_sq double"
+)
 
-    ``bars`` has ``close`` and ``prev_close``; on the entry bar equity is still the capital.
-    Trades are matched with bars block by block, so no key holds more than one block of a symbol.
-    """
-    held = trades.filter("status <> 'skipped'").join(last_positions(bars), "symbol").select(
-        "run_id", "symbol", "entry_pos", "exit_pos", "side", "entry_price", "size",
-        "capital_before", "capital_after", "skipped_before",
-        F.coalesce("exit_pos", "last_pos").alias("_end"),
-    )
-    blocks = held.withColumn(
-        "_blk", F.explode(F.sequence(F.floor(F.col("entry_pos") / block), F.floor(F.col("_end") / block)))
-    )
-    priced = bars.select("symbol", F.floor(F.col("pos") / block).alias("_blk"), "pos", "close", "prev_close")
-    inside = blocks.join(priced, ["symbol", "_blk"]).filter(
-        (F.col("pos") > F.col("entry_pos")) & (F.col("pos") <= F.col("_end"))
-    )
 
-    def marked(price: str) -> Column:
-        return F.col("capital_before") + _unrealized(F.col("side"), F.col(price), F.col("entry_price"), F.col("size"))
+@F.pandas_udf(_BLOCK_STATS)
+def _block_stats(
+    closes: pd.Series, before: pd.Series, lo: pd.Series, hi: pd.Series, capital: pd.Series,
+    units: pd.Series, entry: pd.Series, exit_equity: pd.Series, uncounted: pd.Series,
+) -> pd.DataFrame:
+    """Equity of one trade over the bars ``lo..hi`` of one block: extremes, worst fall inside, returns."""
+    out = np.empty((len(closes), 6))
+    for i, (c, b, a, z, cap, q, e, x, skip) in enumerate(
+        zip(closes, before, lo, hi, capital, units, entry, exit_equity, uncounted, strict=True)
+    ):
+        prices = np.concatenate(([c[a - 1] if a > 0 else b], c[a:z + 1]))
+        equity = cap + q * (prices - e)
+        earlier = equity[:-1].copy()
+        equity = equity[1:]
+        if not np.isnan(x):
+            equity[-1] = x
+        peak = np.maximum.accumulate(equity)
+        counted = slice(max(int(skip), 0), None)
+        rise = equity[counted] / earlier[counted] - 1.0
+        out[i] = (
+            equity.max(), equity.min(), ((equity - peak) / peak).min(), equity[-1], rise.sum(), (rise * rise).sum()
+        )
+    return pd.DataFrame(out, columns=[f.split()[0] for f in _BLOCK_STATS.split(", ")])
+
+
+def trade_blocks(trades: DataFrame, bars: DataFrame, runs: Sequence[Run], block: int = BLOCK_ROWS) -> DataFrame:
+    """Equity statistics of every trade per block of bars, instead of one row per bar and run.
 
-    return inside.select(
-        "run_id", "symbol", "pos", "exit_pos", "skipped_before",
-        F.when(F.col("pos") == F.col("exit_pos"), F.col("capital_after")).otherwise(marked("close")).alias("equity"),
-        marked("prev_close").alias("equity_before"),
+    Covers the bars after an entry up to its exit (or the end of data). Closes travel as one
+    array per block, which holds ``block`` values at most.
+    """
+    held = trades.filter("status <> 'skipped'").join(last_positions(bars), "symbol").select(
+        "run_id", "symbol", "side", "entry_price", "size", "capital_before", "capital_after", "skipped_before",
+        "exit_pos", (F.col("entry_pos") + 1).alias("_from"), F.coalesce("exit_pos", "last_pos").alias("_to"),
+    ).filter("_from <= _to")
+    spread = held.withColumn("_blk", F.explode(F.expr(f"sequence(_from div {block}, _to div {block})")))
+    # Positions are dense, so sorting a block's (pos, close) pairs puts every close at its offset.
+    arrays = bars.groupBy("symbol", F.expr(f"pos div {block}").alias("_blk")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "close", "prev_close"))).alias("_rows")
+    ).select("symbol", "_blk", F.col("_rows.close").alias("_closes"), F.col("_rows")[0]["prev_close"].alias("_before"))
+    start = F.greatest(F.col("_from"), F.col("_blk") * block)
+    end = F.least(F.col("_to"), (F.col("_blk") + 1) * block - 1)
+    joined = spread.join(arrays, ["symbol", "_blk"]).withColumns({"_start": start, "_end": end})
+    # Point 0 of the curve is the initial capital; returns count from point warm-up + 1 on.
+    first_counted = 2 * _warmup_of(runs) + F.col("skipped_before")
+    stats = _block_stats(
+        F.col("_closes"),
+        F.coalesce("_before", F.lit(float("nan"))),
+        F.col("_start") - F.col("_blk") * block,
+        F.col("_end") - F.col("_blk") * block,
+        "capital_before",
+        F.col("side") * F.col("size"),
+        "entry_price",
+        F.when(F.col("_end") == F.col("exit_pos"), F.col("capital_after")).otherwise(F.lit(float("nan"))),
+        first_counted - F.col("_start"),
     )
+    return joined.withColumn("s", stats).select("run_id", "symbol", "exit_pos", F.col("_start").alias("pos"), "s.*")
 
 
 def equity_curve(
@@ -141,20 +178,18 @@ def run_metrics(
     on, without bars whose entry was refused. Sharpe leaves out the first ``warmup`` points.
     """
     ids = ["run_id", "symbol"]
-    warmup = _warmup_of(runs)
-    # Index of a bar's point on the curve; point 0 is the initial capital.
-    point = F.col("pos") - warmup + 1 - F.col("skipped_before")
-    moves = trade_bars(trades, bars).withColumn(
-        "_ret", F.when(point > warmup, F.try_divide("equity", "equity_before") - 1)
+    chunked = trade_blocks(trades, bars, runs).withColumn("_chunk", F.expr(f"pos div {HISTORY_CHUNK}"))
+    peaked = running(
+        chunked, ids, "_chunk", "pos", [Running("_peak", "max", F.col("highest"))], exclusive=True
     )
-    chunked = moves.withColumn("_chunk", F.floor(F.col("pos") / HISTORY_CHUNK))
-    peaked = running(chunked, ids, "_chunk", "pos", [Running("_peak", "max", F.col("equity"))])
+    # The worst fall of a block starts inside it or at the highest point before it.
     peak = F.greatest(F.col("_peak"), F.lit(float(initial_capital)))
+    fall = F.least(F.col("worst"), F.try_divide(F.col("lowest") - peak, peak))
     moved = peaked.groupBy(*ids).agg(
-        F.sum("_ret").alias("_s1"),
-        F.sum(F.col("_ret") * F.col("_ret")).alias("_s2"),
-        F.min(F.try_divide(F.col("equity") - peak, peak) * 100).alias("_worst"),
-        F.max_by("equity", F.when(F.col("exit_pos").isNull(), F.col("pos"))).alias("_open_equity"),
+        F.sum("ret_sum").alias("_s1"),
+        F.sum("ret_sq").alias("_s2"),
+        (F.min(fall) * 100).alias("_worst"),
+        F.max_by("last_equity", F.when(F.col("exit_pos").isNull(), F.col("pos"))).alias("_open_equity"),
     )
     closed, pnl = F.col("status") == "closed", F.col("pnl")
     won, lost = closed & (pnl > 0), closed & (pnl < 0)

@@ -2,9 +2,9 @@
 
 Every range is compared with one summary row per block of bars (highest high, lowest
 low) before any bar is looked at. Of the blocks wholly inside the range only the
-first that can touch each level is opened, plus the partly covered blocks at both
-ends when they can touch. A range of ``m`` bars thus costs about ``m / block`` summary
-rows and at most four blocks of bars, and all joins are keyed by ``(symbol, block)``.
+first that can touch is opened, plus the partly covered blocks at both ends when they
+can touch. A range of ``m`` bars thus costs about ``m / block`` summary rows and at
+most three blocks of bars, and all joins are keyed by ``(symbol, block)``.
 """
 
 from __future__ import annotations
@@ -14,56 +14,63 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 128
 
+_PROBE = ["symbol", "_first", "_up", "_down"]
+
 
 def first_touch(
     ranges: DataFrame,
     bars: DataFrame,
     first: str,
     last: str,
-    upper: str | None,
-    lower: str | None,
+    upper: str,
+    lower: str,
     block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add ``touch_up`` (first high >= upper) and ``touch_down`` (first low <= lower) positions.
+    """Add ``touch_pos``, the first bar with high >= upper or low <= lower, and which of both it met.
 
-    ``ranges`` has ``symbol``, inclusive positions ``first`` and ``last`` and the level
-    columns; rows must be unique. A NULL level is never touched and an empty range has no touch.
+    ``ranges`` has ``symbol``, inclusive positions ``first`` and ``last`` and the two level
+    columns. A NULL level is never touched; an empty range has no touch. ``touch_up`` and
+    ``touch_down`` are NULL without a touch.
     """
-    columns = ranges.columns
-    r = ranges.withColumns({
-        "_up": F.col(upper) if upper else F.lit(None).cast("double"),
-        "_down": F.col(lower) if lower else F.lit(None).cast("double"),
-    })
-    keys = [*columns, "_up", "_down"]
+    asked = ranges.withColumns({"_first": F.col(first), "_up": F.col(upper), "_down": F.col(lower)})
+    # Ranges with the same start and levels share one search over the longest of them.
+    probes = asked.filter(F.col(first) <= F.col(last)).groupBy(*_PROBE).agg(F.max(last).alias("_last"))
+    found = _search(probes, bars, block).select(
+        *[F.col(c).alias(f"_k{c}") for c in _PROBE], "touch_pos", "touch_up", "touch_down"
+    )
+    same = F.lit(True)
+    for c in _PROBE:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{c}"))
+    reached = F.col("touch_pos") <= F.col(last)
+    return asked.join(found, same, "left").select(
+        *ranges.columns,
+        *[F.when(reached, F.col(c)).alias(c) for c in ("touch_pos", "touch_up", "touch_down")],
+    )
 
-    blocked = bars.select("symbol", F.floor(F.col("pos") / block).alias("_blk"), "pos", "high", "low")
-    summary = blocked.groupBy("symbol", "_blk").agg(F.max("high").alias("_zone_high"), F.min("low").alias("_zone_low"))
 
-    covered = F.when(
-        F.col(first) <= F.col(last),
-        F.sequence(F.floor(F.col(first) / block), F.floor(F.col(last) / block)),
-    )
-    zones = r.withColumn("_blk", F.explode_outer(covered)).join(summary, ["symbol", "_blk"], "left")
-    up, down = F.col("_zone_high") >= F.col("_up"), F.col("_zone_low") <= F.col("_down")
-    inside = (F.col("_blk") * block >= F.col(first)) & ((F.col("_blk") + 1) * block - 1 <= F.col(last))
-    at_start = ~inside & (F.col("_blk") == F.floor(F.col(first) / block))
-    at_end = ~inside & (F.col("_blk") == F.floor(F.col(last) / block))
+def _search(probes: DataFrame, bars: DataFrame, block: int) -> DataFrame:
+    """Probes that touch, with the touch."""
+    blocked = bars.select("symbol", F.expr(f"pos div {block}").alias("_blk"), F.col("pos").alias("_at"), "high", "low")
+    summary = blocked.groupBy("symbol", "_blk").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    touches = (F.col("high") >= F.col("_up")) | (F.col("low") <= F.col("_down"))
+
+    spread = probes.withColumn("_blk", F.explode(F.expr(f"sequence(_first div {block}, _last div {block})")))
+    possible = spread.join(summary, ["symbol", "_blk"]).filter(touches)
+    inside = F.expr(f"_blk * {block} >= _first AND (_blk + 1) * {block} - 1 <= _last")
+    at_start = F.expr(f"_blk = _first div {block}")
     blk = F.col("_blk")
-    picked = zones.groupBy(*keys).agg(
-        F.min(F.when(inside & up, blk)).alias("_b_up"),
-        F.min(F.when(inside & down, blk)).alias("_b_down"),
-        F.min(F.when(at_start & (up | down), blk)).alias("_b_start"),
-        F.min(F.when(at_end & (up | down), blk)).alias("_b_end"),
-    )
-    opened = F.filter(
-        F.array_distinct(F.array("_b_start", "_b_up", "_b_down", "_b_end")), lambda b: b.isNotNull()
+    opened = possible.groupBy(*_PROBE, "_last").agg(
+        F.min(F.when(inside, blk)).alias("_full"),
+        F.min(F.when(~inside & at_start, blk)).alias("_start"),
+        F.min(F.when(~inside & ~at_start, blk)).alias("_end"),
     )
-    probes = picked.select(*keys, F.explode_outer(opened).alias("_blk"))
-    joined = probes.join(
-        blocked.withColumnRenamed("pos", "_at"), ["symbol", "_blk"], "left"
+    # A full block always holds a touch, so the end is looked at only without one.
+    wanted = F.array("_start", F.coalesce("_full", "_end"))
+    looked = opened.withColumn("_blk", F.explode(F.array_compact(wanted))).drop("_full", "_start", "_end")
+    hits = looked.join(blocked, ["symbol", "_blk"]).filter(touches & F.col("_at").between(F.col("_first"), F.col("_last")))
+    which = F.struct(
+        F.col("_at").alias("touch_pos"),
+        F.coalesce(F.col("high") >= F.col("_up"), F.lit(False)).alias("touch_up"),
+        F.coalesce(F.col("low") <= F.col("_down"), F.lit(False)).alias("touch_down"),
     )
-    in_range = F.col("_at").between(F.col(first), F.col(last))
-    return joined.groupBy(*keys).agg(
-        F.min(F.when(in_range & (F.col("high") >= F.col("_up")), F.col("_at"))).alias("touch_up"),
-        F.min(F.when(in_range & (F.col("low") <= F.col("_down")), F.col("_at"))).alias("touch_down"),
-    ).drop("_up", "_down")
+    return hits.groupBy(*_PROBE).agg(F.min(which).alias("t")).select(*_PROBE, "t.*")

@@ -96,9 +96,8 @@ def label_triple_barrier(
     win = F.when(is_long, F.col("touch_up")).otherwise(F.col("touch_down"))
     lose = F.when(is_long, F.col("touch_down")).otherwise(F.col("touch_up"))
     hit = touched.withColumns({
-        "label": F.when(lose.isNotNull() & (win.isNull() | (lose <= win)), F.lit(-1))
-        .when(win.isNotNull(), F.lit(1)).otherwise(F.lit(0)),
-        "_exit": F.coalesce(F.least(win, lose), F.col("pos") + horizon),
+        "label": F.when(lose, F.lit(-1)).when(win, F.lit(1)).otherwise(F.lit(0)),
+        "_exit": F.coalesce("touch_pos", F.col("pos") + horizon),
     }).join(last_positions(bars), "symbol")
     capped = hit.withColumns({
         "exit_idx": F.least("_exit", "last_pos"),

@@ -6,9 +6,9 @@ the last ``lookback`` bars before it (its halo). All windows then run inside
 bounded, and a symbol with a long history is spread over many tasks.
 
 Windows up to ``PLAIN_LIMIT`` rows use Spark's own sliding frame. Longer ones would
-re-aggregate the frame for every row, so they are put together from two running
-aggregates over blocks of one window length: the tail of the block where the window
-starts and the head of the block where it ends.
+re-aggregate the frame for every row, so they are put together from windows of 1, 2,
+4, ... rows, each made of two halves by one ``lag``. All periods share these steps and
+the one sort of the chunk, and a window of ``p`` rows costs about ``log2(p)`` steps.
 """
 
 from __future__ import annotations
@@ -71,8 +71,8 @@ class HaloFrame:
         plain = [r for r in rolls if r.period <= plain_limit]
         self.df = self.df.withColumns({r.out: self._plain(r) for r in plain}) if plain else self.df
         long = [r for r in rolls if r.period > plain_limit]
-        for period in sorted({r.period for r in long}):
-            self._blocks(period, [r for r in long if r.period == period])
+        if long:
+            self._doubled(long)
         return self
 
     def _plain(self, r: Roll) -> Column:
@@ -80,64 +80,65 @@ class HaloFrame:
         how = {"max": F.max, "min": F.min, "sum": F.sum, "avg": F.avg, "std": F.stddev_pop}[r.how]
         return F.when(F.count(r.value).over(frame) == r.period, how(r.value).over(frame))
 
-    def _blocks(self, period: int, rolls: Sequence[Roll]) -> None:
+    def _doubled(self, rolls: Sequence[Roll]) -> None:
         before = self.df.columns
-        pos = F.col("pos")
-        self.df = self.df.withColumn("_blk", F.floor(pos / period))
-        std_values = sorted({r.value for r in rolls if r.how == "std"})
         # Squares are summed around the chunk mean, which keeps the variance from cancelling.
-        centred = {
-            f"_c_{v}": F.col(v) - self.over_chunk(F.avg(v)) for v in std_values
-        }
+        centred = {f"_c_{v}": F.col(v) - self.over_chunk(F.avg(v)) for v in {r.value for r in rolls if r.how == "std"}}
         if centred:
             self.df = self.df.withColumns(centred)
-        parts: dict[str, tuple] = {}
-        for r in rolls:
-            parts[f"n_{r.value}"] = (F.count, F.col(r.value))
-            if r.how in ("max", "min"):
-                parts[f"{r.how}_{r.value}"] = ({"max": F.max, "min": F.min}[r.how], F.col(r.value))
-            elif r.how == "std":
-                c = F.col(f"_c_{r.value}")
-                parts[f"s1_{r.value}"] = (F.sum, c)
-                parts[f"s2_{r.value}"] = (F.sum, c * c)
-            else:
-                parts[f"sum_{r.value}"] = (F.sum, F.col(r.value))
-        block = W.partitionBy("symbol", _CHUNK, "_blk")
-        head = block.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-        tail = block.orderBy(F.col("pos").desc()).rowsBetween(W.unboundedPreceding, 0)
-        self.df = self.df.withColumns({f"_tail_{k}": agg(v).over(tail) for k, (agg, v) in parts.items()})
-        self.df = self.df.withColumns({f"_head_{k}": agg(v).over(head) for k, (agg, v) in parts.items()})
+            self.df = self.df.withColumns({f"{c}_sq": F.col(c) * F.col(c) for c in centred})
 
-        ordered = self._ordered()
+        def parts(r: Roll) -> list[tuple[str, str]]:
+            if r.how == "std":
+                return [("sum", f"_c_{r.value}"), ("sum", f"_c_{r.value}_sq")]
+            return [("sum" if r.how == "avg" else r.how, r.value)]
 
-        def ends(key: str, shift: int) -> tuple[Column, Column]:
-            # The window starts `start` rows back; when it is exactly one block the head alone covers it.
-            start = period - 1 + shift
-            whole_block = F.pmod(pos - start, F.lit(period)) == 0
-            tail_part = F.lag(f"_tail_{key}", start).over(ordered)
-            head_part = F.lag(f"_head_{key}", shift).over(ordered) if shift else F.col(f"_head_{key}")
-            return F.when(~whole_block, tail_part), head_part
+        longest: dict[tuple[str, str], int] = {}
+        for r in rolls:
+            for part in parts(r):
+                longest[part] = max(longest.get(part, 1), r.period)
 
-        def added(key: str, shift: int) -> Column:
-            a, b = ends(key, shift)
-            return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+        def name(part: tuple[str, str], level: int) -> str:
+            return f"_w{level}_{part[0]}_{part[1]}" if level else part[1]
+
+        ordered = self._ordered()
+        for level in range(1, max(longest.values()).bit_length()):
+            half = 2 ** (level - 1)
+            steps = {}
+            for part, period in longest.items():
+                if 2**level <= period:
+                    near = F.col(name(part, level - 1))
+                    steps[name(part, level)] = _merge(part[0], near, F.lag(near, half).over(ordered))
+            self.df = self.df.withColumns(steps)
+
+        def window(part: tuple[str, str], r: Roll) -> Column:
+            """The aggregate of the window, NULL when any of its rows is missing or NULL."""
+            def back(level: int, rows: int) -> Column:
+                c = F.col(name(part, level))
+                return F.lag(c, rows).over(ordered) if rows else c
+
+            if part[0] != "sum":
+                top = r.period.bit_length() - 1
+                return _merge(part[0], back(top, r.shift), back(top, r.shift + r.period - 2**top))
+            offset, total = r.shift, None
+            for level in range(r.period.bit_length()):
+                if r.period >> level & 1:
+                    piece = back(level, offset)
+                    total = piece if total is None else total + piece
+                    offset += 2**level
+            return total
 
         outs = {}
         for r in rolls:
-            full = added(f"n_{r.value}", r.shift) == period
-            if r.how in ("max", "min"):
-                pick = F.greatest if r.how == "max" else F.least
-                value = pick(*ends(f"{r.how}_{r.value}", r.shift))
-            elif r.how == "std":
-                mean = added(f"s1_{r.value}", r.shift) / period
-                mean_sq = added(f"s2_{r.value}", r.shift) / period
+            values = [window(part, r) for part in parts(r)]
+            if r.how == "std":
+                mean, mean_sq = values[0] / r.period, values[1] / r.period
                 variance = mean_sq - mean * mean
                 # What is left after cancelling a constant series counts as no spread.
-                value = F.when(variance <= mean_sq * 1e-13, F.lit(0.0)).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))
+                flat = F.when(variance <= mean_sq * 1e-13, F.lit(0.0))
+                outs[r.out] = F.when(variance.isNotNull(), flat.otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))))
             else:
-                total = added(f"sum_{r.value}", r.shift)
-                value = total / period if r.how == "avg" else total
-            outs[r.out] = F.when(full, value)
+                outs[r.out] = values[0] / r.period if r.how == "avg" else values[0]
         self.df = self.df.withColumns(outs).select(*before, *outs)
 
     def core(self) -> DataFrame:
@@ -149,3 +150,10 @@ class HaloFrame:
 def halo_frame(bars: DataFrame, lookback: int, chunk_rows: int | None = None) -> HaloFrame:
     """Chunks of at least twice the lookback, so a bar is held at most one and a half times on average."""
     return HaloFrame(bars, lookback, chunk_rows or max(CHUNK_ROWS, 2 * lookback))
+
+
+def _merge(how: str, a: Column, b: Column) -> Column:
+    """Two neighbouring windows as one; NULL if either is."""
+    if how == "sum":
+        return a + b
+    return F.when(a.isNotNull() & b.isNotNull(), (F.greatest if how == "max" else F.least)(a, b))

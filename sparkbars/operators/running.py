@@ -48,8 +48,9 @@ def running(
     items: Sequence[Running],
     reverse: bool = False,
     totals: DataFrame | None = None,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Add one running aggregate per item, the current row included.
+    """Add one running aggregate per item, the current row included unless ``exclusive``.
 
     ``chunk`` is a column that never decreases along ``order`` within a key, and
     ``order`` has no ties there. ``totals`` may bring the per-chunk totals (keys,
@@ -65,7 +66,9 @@ def running(
         F.col(chunk).alias("_k_chunk"),
         *[_over(i.how, F.col(i.out), across).alias(f"_carry_{i.out}") for i in items],
     )
-    inside = W.partitionBy(*keys, chunk).orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys, chunk).orderBy(direction(order)).rowsBetween(
+        W.unboundedPreceding, -1 if exclusive else 0
+    )
     inner = df.select("*", *[_over(i.how, i.value, inside).alias(f"_in_{i.out}") for i in items])
     on = F.col(chunk) == F.col("_k_chunk")
     for k in keys:

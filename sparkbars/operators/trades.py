@@ -81,7 +81,13 @@ def run_signals(bars: DataFrame, runs: Sequence[Run]) -> DataFrame:
         )
 
     signals = F.filter(F.transform(grid, evaluate), lambda s: s["signal"] != 0)
-    return bars.select("symbol", "pos", "close", F.explode(signals).alias("s")).select(
+    # Few bars leave any channel; a plain comparison finds them before parameter sets are looked at.
+    channels = sorted(set(entries) | set(exits))
+    outside = F.lit(False)
+    for p in channels:
+        outside = outside | F.coalesce((close > F.col(f"high_{p}")) | (close < F.col(f"low_{p}")), F.lit(False))
+    moved = bars.filter(outside & (F.col("pos") >= min(r.warmup for r in runs)))
+    return moved.select("symbol", "pos", "close", F.explode(signals).alias("s")).select(
         F.col("s.run_id").alias("run_id"), "symbol", "pos", F.col("s.signal").alias("signal"),
         "close", F.col("s.stop_price").alias("stop_price"), F.col("s.atr").alias("atr"),
         F.col("s.atr_mult").alias("atr_mult"),
@@ -121,7 +127,7 @@ def trade_candidates(
         "_lo": F.when(F.col("side") == 1, F.col("stop_price")),
     })
     touched = first_touch(ranges, bars, "_first", "_last", "_hi", "_lo", block)
-    stop_at = F.coalesce("touch_up", "touch_down")
+    stop_at = F.col("touch_pos")
     resolved = touched.withColumns({
         "exit_pos": F.coalesce(stop_at, "signal_exit"),
         "exit_reason": F.when(stop_at.isNotNull(), "stop").when(F.col("signal_exit").isNotNull(), "signal"),
