@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkbars.operators.labels import last_positions
 from sparkbars.operators.running import Running, running
@@ -35,9 +36,10 @@ def _unrealized(side: Column, close: Column, entry: Column, size: Column) -> Col
     return side * (close - entry) * size
 
 
-_BLOCK_STATS = (
-    "highest double, lowest double, worst double, last_equity double, ret_sum double, ret_sq double"
-)
+_BLOCK_STATS = T.StructType([
+    T.StructField(n, T.DoubleType())
+    for n in ("highest", "lowest", "worst", "last_equity", "ret_sum", "ret_sq")
+])
 
 
 @F.pandas_udf(_BLOCK_STATS)
@@ -62,7 +64,7 @@ def _block_stats(
         out[i] = (
             equity.max(), equity.min(), ((equity - peak) / peak).min(), equity[-1], rise.sum(), (rise * rise).sum()
         )
-    return pd.DataFrame(out, columns=[f.split()[0] for f in _BLOCK_STATS.split(", ")])
+    return pd.DataFrame(out, columns=_BLOCK_STATS.names)
 
 
 def trade_blocks(trades: DataFrame, bars: DataFrame, runs: Sequence[Run], block: int = BLOCK_ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkbars.operators.ranks import average_rank, quantiles, value_counts
 from sparkbars.operators.running import row_index
@@ -64,7 +65,7 @@ def correlation_p_value(ic: float, n: int) -> float:
     return _beta_tail(dof / 2.0, 0.5, dof / (dof + t2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(ic: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(r) else correlation_p_value(float(r), int(k)) for r, k in zip(ic, n)])
 
