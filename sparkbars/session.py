@@ -43,14 +43,13 @@ def scratch_root(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
     driver and executors are one process, may fall back to a folder of its own.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="sparkbars-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkbars-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:

@@ -44,20 +44,28 @@ def datetime_of(ms: str | Column) -> Column:
 def load_bars(spark: SparkSession, source: str, date_range: Sequence[str] | None = None) -> DataFrame:
     """Bars from a ``.parquet`` or ``.csv`` path, optionally cut to ``[start, end)``."""
     if source.endswith(".parquet"):
+        # Files of other tools may keep nanosecond clocks, which arrive as whole numbers.
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
         bars = spark.read.parquet(source)
     elif source.endswith(".csv"):
         bars = spark.read.schema(KLINE_CSV_SCHEMA).option("header", True).csv(source)
     else:
         raise ValueError(f"bar source must end in .parquet or .csv: {source}")
     bars = bars.withColumns({f.name: no_nan(f.name) for f in bars.schema if isinstance(f.dataType, T.DoubleType)})
-    return date_filter(bars, *date_range) if date_range else bars
+    bars = date_filter(bars, *date_range) if date_range else bars
+    if dict(bars.dtypes).get("datetime") == "bigint":
+        bars = bars.withColumn("datetime", F.timestamp_micros(F.expr("datetime div 1000")).cast("timestamp_ntz"))
+    return bars
 
 
 def date_filter(bars: DataFrame, start: str, end: str) -> DataFrame:
     """Half-open date filter on ``datetime``, else on ``open_time``; both reach the Parquet scan."""
     if "datetime" in bars.columns:
         kind = bars.schema["datetime"].dataType
-        lo, hi = F.lit(start).cast(kind), F.lit(end).cast(kind)
+        if isinstance(kind, T.LongType):
+            lo, hi = (epoch_ms(F.lit(x).cast("timestamp")) * 1_000_000 for x in (start, end))
+        else:
+            lo, hi = F.lit(start).cast(kind), F.lit(end).cast(kind)
         return bars.filter((F.col("datetime") >= lo) & (F.col("datetime") < hi))
     lo, hi = (epoch_ms(F.lit(x).cast("timestamp")) for x in (start, end))
     return bars.filter((F.col("open_time") >= lo) & (F.col("open_time") < hi))
