@@ -135,8 +135,12 @@ def feature_hour(spark, sf):
     return X.compute_features(events(spark, sf), X.compose([X.hour_of_day]))
 
 
-def _event_table(spark, sf):
-    return cut(event_indicators(spark, sf))
+def _event_table(spark, sf, columns: str = "*"):
+    """The indicator table, written with the columns a query reads."""
+    return cut(event_indicators(spark, sf).select(*columns.split()))
+
+
+_BAR_EVENT = "symbol pos high low close entry_high entry_low atr"
 
 
 def triple_sql(profit: str, stop: str, ret_atr: str) -> str:
@@ -181,13 +185,13 @@ _LABEL_SELECT = (
 
 @register("label_triple_pct", EVENT_SQL.rstrip() + "," + _PCT_SQL + f"SELECT {_LABEL_SELECT} FROM lab")
 def label_triple_pct(spark, sf):
-    bars = _event_table(spark, sf)
+    bars = _event_table(spark, sf, _BAR_EVENT)
     return rounded(label_triple_barrier(bars, event_rows(bars, signal()), **BARRIERS))
 
 
 @register("label_triple_atr", EVENT_SQL.rstrip() + "," + _ATR_SQL + f"SELECT {_LABEL_SELECT} FROM lab")
 def label_triple_atr(spark, sf):
-    bars = _event_table(spark, sf)
+    bars = _event_table(spark, sf, _BAR_EVENT)
     return rounded(label_triple_barrier(bars, event_rows(bars, signal()), **ATR_BARRIERS))
 
 
@@ -213,7 +217,7 @@ common AS (
     + f"SELECT symbol, pos, exit_idx, truncated, {r6('y_norm raw_return entry_price exit_price')} FROM fixed_lab",
 )
 def fixed_horizon(spark, sf):
-    bars = _event_table(spark, sf)
+    bars = _event_table(spark, sf, _BAR_EVENT + " atr_daily")
     return rounded(label_fixed_horizon(bars, event_rows(bars, signal()), HORIZON))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkbars.operators.running import Running, running
 from sparkbars.session import prepare
-from sparkbars.sources.bars import DAY_MS, add_position, bars_from_ticks, epoch_ms
+from sparkbars.sources.bars import DAY_MS, add_position, bar_times, bars_from_ticks, epoch_ms
 
 BASE_CENTS = 10_000_000
 TEN_MINUTES = 600_000
@@ -114,17 +114,18 @@ def event_bars_sql(width_ms: int = TEN_MINUTES) -> str:
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per return flag from order lines, with position."""
     lines = table(spark, sf_dir, "lineitem")
+    symbol, ts = F.col("l_returnflag"), epoch_ms("l_shipdate")
     bars = bars_from_ticks(
         lines,
-        F.col("l_returnflag"),
-        epoch_ms("l_shipdate"),
+        symbol,
+        ts,
         F.col("l_extendedprice") / F.col("l_quantity"),
         F.col("l_quantity"),
         F.col("l_linestatus") == "O",
         [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
         DAY_MS,
     )
-    return add_position(bars)
+    return add_position(bars, times=bar_times(lines, symbol, ts, DAY_MS))
 
 
 DAILY_BARS_SQL = """

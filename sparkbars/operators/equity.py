@@ -84,7 +84,8 @@ def trade_blocks(trades: DataFrame, bars: DataFrame, runs: Sequence[Run], block:
     ).select("symbol", "_blk", F.col("_rows.close").alias("_closes"), F.col("_rows")[0]["prev_close"].alias("_before"))
     start = F.greatest(F.col("_from"), F.col("_blk") * block)
     end = F.least(F.col("_to"), (F.col("_blk") + 1) * block - 1)
-    joined = spread.join(arrays, ["symbol", "_blk"]).withColumns({"_start": start, "_end": end})
+    # Every block exists; the outer join keeps the exploded trades from being taken for a small side.
+    joined = spread.join(arrays, ["symbol", "_blk"], "left").withColumns({"_start": start, "_end": end})
     # Point 0 of the curve is the initial capital; returns count from point warm-up + 1 on.
     first_counted = 2 * _warmup_of(runs) + F.col("skipped_before")
     stats = _block_stats(

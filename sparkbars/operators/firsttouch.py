@@ -5,14 +5,17 @@ low) before any bar is looked at. Of the blocks wholly inside the range only the
 first that can touch is opened, plus the partly covered blocks at both ends when they
 can touch. A range of ``m`` bars thus costs about ``m / block`` summary rows and at
 most three blocks of bars, and all joins are keyed by ``(symbol, block)``.
+
+Most touches come early, so a range is first searched over its next ``NEAR_BARS`` in
+small blocks; only ranges without a touch there go on over the rest in larger ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 128
+NEAR_BARS, NEAR_BLOCK, FAR_BLOCK = 1024, 32, 256
 
 _PROBE = ["symbol", "_first", "_up", "_down"]
 
@@ -24,42 +27,59 @@ def first_touch(
     last: str,
     upper: str,
     lower: str,
-    block: int = BLOCK_ROWS,
+    longest: int | None = None,
+    near_bars: int = NEAR_BARS,
+    near_block: int = NEAR_BLOCK,
+    far_block: int = FAR_BLOCK,
 ) -> DataFrame:
     """Add ``touch_pos``, the first bar with high >= upper or low <= lower, and which of both it met.
 
     ``ranges`` has ``symbol``, inclusive positions ``first`` and ``last`` and the two level
     columns. A NULL level is never touched; an empty range has no touch. ``touch_up`` and
-    ``touch_down`` are NULL without a touch.
+    ``touch_down`` are NULL without a touch. ``longest`` may state the longest range.
     """
     asked = ranges.withColumns({"_first": F.col(first), "_up": F.col(upper), "_down": F.col(lower)})
     # Ranges with the same start and levels share one search over the longest of them.
     probes = asked.filter(F.col(first) <= F.col(last)).groupBy(*_PROBE).agg(F.max(last).alias("_last"))
-    found = _search(probes, bars, block).select(
-        *[F.col(c).alias(f"_k{c}") for c in _PROBE], "touch_pos", "touch_up", "touch_down"
-    )
-    same = F.lit(True)
-    for c in _PROBE:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{c}"))
+    probes = probes.withColumn("_from", F.col("_first"))
+    near_end = F.col("_first") + (near_bars - 1)
+    found = _search(probes.withColumn("_last", F.least("_last", near_end)), bars, near_block)
+    if longest is None or longest > near_bars:
+        known = found.select(*[F.col(c).alias(f"_k{c}") for c in _PROBE])
+        rest = probes.filter(F.col("_last") > near_end).join(known, _same_probe(), "left_anti")
+        found = found.unionByName(_search(rest.withColumn("_from", near_end + 1), bars, far_block))
+    found = found.select(*[F.col(c).alias(f"_k{c}") for c in _PROBE], "touch_pos", "touch_up", "touch_down")
     reached = F.col("touch_pos") <= F.col(last)
-    return asked.join(found, same, "left").select(
+    return asked.join(found, _same_probe(), "left").select(
         *ranges.columns,
         *[F.when(reached, F.col(c)).alias(c) for c in ("touch_pos", "touch_up", "touch_down")],
     )
 
 
+def _same_probe() -> Column:
+    """Join condition of a probe and its copy under ``_k`` names; levels may be NULL."""
+    same = F.lit(True)
+    for c in _PROBE:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{c}"))
+    return same
+
+
 def _search(probes: DataFrame, bars: DataFrame, block: int) -> DataFrame:
-    """Probes that touch, with the touch."""
+    """Probes that touch between ``_from`` and ``_last``, with the touch."""
     blocked = bars.select("symbol", F.expr(f"pos div {block}").alias("_blk"), F.col("pos").alias("_at"), "high", "low")
-    summary = blocked.groupBy("symbol", "_blk").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    summary = blocked.groupBy(F.col("symbol").alias("_sym"), F.col("_blk").alias("_zone")).agg(
+        F.max("high").alias("high"), F.min("low").alias("low")
+    )
     touches = (F.col("high") >= F.col("_up")) | (F.col("low") <= F.col("_down"))
 
-    spread = probes.withColumn("_blk", F.explode(F.expr(f"sequence(_first div {block}, _last div {block})")))
-    possible = spread.join(summary, ["symbol", "_blk"]).filter(touches)
-    inside = F.expr(f"_blk * {block} >= _first AND (_blk + 1) * {block} - 1 <= _last")
-    at_start = F.expr(f"_blk = _first div {block}")
+    spread = probes.withColumn("_blk", F.explode(F.expr(f"sequence(_from div {block}, _last div {block})")))
+    # A semi join can only send the summary around, never the exploded ranges, whose size no estimate sees.
+    in_zone = (F.col("symbol") == F.col("_sym")) & (F.col("_blk") == F.col("_zone")) & touches
+    possible = spread.join(summary, in_zone, "left_semi")
+    inside = F.expr(f"_blk * {block} >= _from AND (_blk + 1) * {block} - 1 <= _last")
+    at_start = F.expr(f"_blk = _from div {block}")
     blk = F.col("_blk")
-    opened = possible.groupBy(*_PROBE, "_last").agg(
+    opened = possible.groupBy(*_PROBE, "_from", "_last").agg(
         F.min(F.when(inside, blk)).alias("_full"),
         F.min(F.when(~inside & at_start, blk)).alias("_start"),
         F.min(F.when(~inside & ~at_start, blk)).alias("_end"),
@@ -67,7 +87,7 @@ def _search(probes: DataFrame, bars: DataFrame, block: int) -> DataFrame:
     # A full block always holds a touch, so the end is looked at only without one.
     wanted = F.array("_start", F.coalesce("_full", "_end"))
     looked = opened.withColumn("_blk", F.explode(F.array_compact(wanted))).drop("_full", "_start", "_end")
-    hits = looked.join(blocked, ["symbol", "_blk"]).filter(touches & F.col("_at").between(F.col("_first"), F.col("_last")))
+    hits = looked.join(blocked, ["symbol", "_blk"]).filter(touches & F.col("_at").between(F.col("_from"), F.col("_last")))
     which = F.struct(
         F.col("_at").alias("touch_pos"),
         F.coalesce(F.col("high") >= F.col("_up"), F.lit(False)).alias("touch_up"),

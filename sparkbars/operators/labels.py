@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkbars.operators.firsttouch import BLOCK_ROWS, first_touch
+from sparkbars.operators.firsttouch import first_touch
 from sparkbars.schema import require_columns
 
 # Narrowest barrier distance and smallest usable volatility.
@@ -52,7 +52,6 @@ def label_triple_barrier(
     lower_barrier: float | str = -0.01,
     horizon: int | str = 288,
     barrier_mode: str = "pct",
-    block: int = BLOCK_ROWS,
     keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """Which barrier an event meets first within ``horizon`` bars; a tie on one bar counts as the loss.
@@ -62,6 +61,7 @@ def label_triple_barrier(
     column among the keys, so that one call can serve many settings.
     """
     _check_barriers(barrier_mode, upper_barrier, lower_barrier)
+    longest = None if isinstance(horizon, str) else horizon
     upper_barrier, lower_barrier, horizon = (
         F.col(v) if isinstance(v, str) else F.lit(v) for v in (upper_barrier, lower_barrier, horizon)
     )
@@ -92,7 +92,7 @@ def label_triple_barrier(
         "_hi": F.when(is_long, profit).otherwise(stop),
         "_lo": F.when(is_long, stop).otherwise(profit),
     })
-    touched = first_touch(ranges, bars, "_first", "_last", "_hi", "_lo", block)
+    touched = first_touch(ranges, bars, "_first", "_last", "_hi", "_lo", longest)
     win = F.when(is_long, F.col("touch_up")).otherwise(F.col("touch_down"))
     lose = F.when(is_long, F.col("touch_down")).otherwise(F.col("touch_up"))
     hit = touched.withColumns({

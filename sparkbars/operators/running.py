@@ -90,14 +90,22 @@ def running(
     return joined.select(*[c for c in df.columns if c not in replaced], *outs)
 
 
-def row_index(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], out: str = "row_index") -> DataFrame:
+def row_index(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    order: Sequence[str],
+    out: str = "row_index",
+    sizes_from: DataFrame | None = None,
+) -> DataFrame:
     """Gap-free index from 0 along ``order`` (unique within key and chunk), per key.
 
     ``keys`` may be empty for one index over the whole table; ``chunk`` then spreads
-    the work, and only one row per chunk is ordered globally.
+    the work, and only one row per chunk is ordered globally. ``sizes_from`` may hold the
+    same rows from a cheaper source, for counting them.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = (df if sizes_from is None else sizes_from).groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
     across = W.partitionBy(*(keys or [F.lit(0)])).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys, chunk, F.coalesce(F.sum("_n").over(across), F.lit(0)).cast("long").alias("_offset")

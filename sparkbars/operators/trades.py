@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkbars.functions.signals import EXIT_LONG, EXIT_SHORT, five_way, stop_level, warmup_bars
 from sparkbars.functions.sizing import ScalarSizer, scalar_risk_size
-from sparkbars.operators.firsttouch import BLOCK_ROWS, first_touch
+from sparkbars.operators.firsttouch import first_touch
 from sparkbars.operators.fold import ordered_fold
 from sparkbars.operators.labels import last_positions
 from sparkbars.operators.running import Running, running
@@ -95,7 +95,7 @@ def run_signals(bars: DataFrame, runs: Sequence[Run]) -> DataFrame:
 
 
 def trade_candidates(
-    signals: DataFrame, bars: DataFrame, fill_model: str = "worse_of", block: int = BLOCK_ROWS
+    signals: DataFrame, bars: DataFrame, fill_model: str = "worse_of"
 ) -> DataFrame:
     """Every entry signal with the exit it would have: stop touch or exit signal, whichever comes first.
 
@@ -126,7 +126,7 @@ def trade_candidates(
         "_hi": F.when(F.col("side") == -1, F.col("stop_price")),
         "_lo": F.when(F.col("side") == 1, F.col("stop_price")),
     })
-    touched = first_touch(ranges, bars, "_first", "_last", "_hi", "_lo", block)
+    touched = first_touch(ranges, bars, "_first", "_last", "_hi", "_lo")
     stop_at = F.col("touch_pos")
     resolved = touched.withColumns({
         "exit_pos": F.coalesce(stop_at, "signal_exit"),

@@ -147,10 +147,23 @@ def merge_funding(*batches: DataFrame) -> DataFrame:
     return merge_increments(*batches, keys=["calc_time"]).select("datetime", "calc_time", "funding_rate")
 
 
-def add_position(bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Dense position from 0 per symbol along ``open_time``; gaps in time are not filled."""
-    dayed = bars.withColumn("_day", F.floor(F.col("open_time") / DAY_MS))
-    return row_index(dayed, keys, "_day", ["open_time"], "pos").drop("_day")
+def add_position(
+    bars: DataFrame, keys: Sequence[str] = ("symbol",), times: DataFrame | None = None
+) -> DataFrame:
+    """Dense position from 0 per symbol along ``open_time``; gaps in time are not filled.
+
+    ``times`` may bring the keys and open times of the bars from a cheaper source than ``bars``.
+    """
+    day = F.expr(f"open_time div {DAY_MS}")
+    counted = None if times is None else times.withColumn("_day", day)
+    dayed = bars.withColumn("_day", day)
+    return row_index(dayed, keys, "_day", ["open_time"], "pos", counted).drop("_day")
+
+
+def bar_times(ticks: DataFrame, symbol: Column, ts_ms: Column, width_ms: int) -> DataFrame:
+    """Symbol and open time of every bar of ``bars_from_ticks``, without building the bars."""
+    start = (ts_ms - F.pmod(ts_ms, F.lit(width_ms))).alias("open_time")
+    return ticks.select(symbol.alias("symbol"), start).distinct()
 
 
 def bars_from_ticks(

@@ -78,8 +78,8 @@ def test_first_touch_equals_scan(spark):
     probes = pd.DataFrame(rows)
     # Several ranges share a start and levels but not an end.
     probes = pd.concat([probes, probes.assign(id=probes.id + 1000, z=probes.z - 40)])
-    for block in (8, 64):
-        got = first_touch(frame(spark, probes), frame(spark, pdf), "a", "z", "up", "down", block).toPandas()
+    for sizes in (dict(near_bars=1000, near_block=64), dict(near_bars=20, near_block=8, far_block=16)):
+        got = first_touch(frame(spark, probes), frame(spark, pdf), "a", "z", "up", "down", **sizes).toPandas()
         assert len(got) == len(probes)
         for r in got.itertuples():
             d = pdf[(pdf.symbol == r.symbol) & (pdf.pos >= r.a) & (pdf.pos <= r.z)]
