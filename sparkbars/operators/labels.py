@@ -70,7 +70,7 @@ def label_triple_barrier(
     entry, is_long = F.col("entry_price"), F.col("side") == 1
     direction = F.when(is_long, F.lit(1.0)).otherwise(F.lit(-1.0))
     ev = events.select(
-        *keys, "symbol", "pos", "side", F.col("close").alias("entry_price"),
+        *dict.fromkeys([*keys, "symbol", "pos", "side"]), F.col("close").alias("entry_price"),
         (F.col("atr") if atr_mode else F.lit(None).cast("double")).alias("_atr"),
     )
     if atr_mode:

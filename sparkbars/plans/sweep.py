@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkbars.functions.signals import breakout_event
@@ -89,14 +90,19 @@ def backtest(
     fill_model: str = "worse_of",
     periods_per_year: float = 525_600,
     keep_entry: Callable[[DataFrame], DataFrame] | None = None,
+    only: DataFrame | None = None,
 ) -> Backtest:
     """Trades and raw metrics of every run on every symbol.
 
+    ``only`` may name the (run_id, symbol) pairs to trade; the others show no trades.
     ``keep_entry`` may filter the candidates before trades are chosen, for instance by a
     model score; it sees no capital, so it cannot depend on earlier trades.
     """
     prepared = channel_table(bars, runs)
-    candidates = trade_candidates(run_signals(prepared, runs), prepared, fill_model)
+    signals = run_signals(prepared, runs)
+    if only is not None:
+        signals = signals.join(only, ["run_id", "symbol"], "left_semi")
+    candidates = trade_candidates(signals, prepared, fill_model)
     if keep_entry is not None:
         candidates = keep_entry(candidates)
     trades = cut(select_trades(candidates, initial_capital, commission, sizer))
@@ -225,23 +231,18 @@ def train_test_topk(
 ) -> DataFrame:
     """The ``k`` best combinations per symbol on ``train``, measured again on ``test``; best test Sharpe first.
 
-    Test runs of all combinations share one plan, so nothing returns to the driver between the two.
+    The chosen pairs go from one sweep to the next as a table, not through the driver.
     """
-    from pyspark.sql import Window as W
-
     best_first = [F.col(rank_by).desc_nulls_last(), F.col("run_id")]
     trained = without_errors(sweep_backtest(train, grid, rank_by, couple=True, **options))
     top = trained.withColumn("_rank", F.row_number().over(W.partitionBy("symbol").orderBy(*best_first))).filter(
         F.col("_rank") <= k
     )
+    params = [n for n in grid]
+    top = cut(top.select("run_id", "symbol", *params, F.col("sharpe").alias("train_sharpe")))
     runs, _ = runs_of([coupled(c) for c in expand_grid(grid)])
-    tested = display_metrics(backtest(test, runs, **options).metrics).select(
+    tested = display_metrics(backtest(test, runs, only=top, **options).metrics).select(
         "run_id", "symbol", F.col("sharpe").alias("test_sharpe"), F.col("max_dd_pct").alias("test_max_dd_pct"),
         F.col("total_return_pct").alias("test_return_pct"),
     )
-    params = [n for n in grid]
-    return (
-        top.select("run_id", "symbol", *params, F.col("sharpe").alias("train_sharpe"))
-        .join(tested, ["run_id", "symbol"])
-        .orderBy(F.col("test_sharpe").desc(), "symbol", "run_id")
-    )
+    return top.join(tested, ["run_id", "symbol"]).orderBy(F.col("test_sharpe").desc(), "symbol", "run_id")
