@@ -267,10 +267,18 @@ def daily_indicators(spark, sf) -> DataFrame:
     return add_indicators(daily_bars(spark, sf), **PERIODS)
 
 
-def _indicator_query(name: str, columns: str, daily: bool = False) -> None:
+def _indicator_query(name: str, columns: str, daily: bool = False, exact: str = "") -> None:
+    """``exact`` columns come from whole numbers; they are compared to the last digit instead of rounded."""
     source = daily_indicators if daily else event_indicators
-    sql = (DAILY_IND if daily else EVENT_IND) + f"SELECT symbol, pos, {r6(columns)} FROM ind"
-    register(name, sql)(lambda spark, sf: rounded(source(spark, sf).select("symbol", "pos", *columns.split())))
+    whole = "".join(f", {c}" for c in exact.split())
+    sql = (DAILY_IND if daily else EVENT_IND) + f"SELECT symbol, pos, {r6(columns)}{whole} FROM ind"
+
+    def run(spark, sf):
+        rows = source(spark, sf)
+        near = [F.round(c, 6).alias(c) for c in columns.split()]
+        return rows.select("symbol", "pos", *near, *exact.split())
+
+    register(name, sql)(run)
 
 
 _indicator_query("ind_channels", "entry_high entry_low exit_high exit_low")
@@ -281,4 +289,5 @@ _indicator_query("ind_returns", "ret_5 ret_10 ret_30")
 _indicator_query("ind_trend_ma", "ma")
 _indicator_query("ind_daily_atr", "atr_daily")
 _indicator_query("ind_taker", "taker_buy_ratio")
-_indicator_query("ind_daily_bars", "entry_high exit_low vol_ma vol_zscore channel_pos ret_10 ma taker_buy_ratio", daily=True)
+_indicator_query("ind_daily_bars", "entry_high exit_low vol_ma vol_zscore channel_pos ret_10 ma", daily=True,
+                 exact="taker_buy_ratio")
