@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import langid
+from sparkbars.llm import langid, quality
 from sparkbars.llm.columns import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~held_out))
     judged = docs.select("doc_id", held_out.alias("held_out"), model.judge(F.col("text")).alias("found"))
     return judged.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@register("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.RepetitionRules()
+    m = F.col("measured")
+    return docs.select("doc_id", quality.measure(F.col("text"), rules).alias("measured")).select(
+        "doc_id",
+        *[m[c].alias(c) for c in quality.COUNTS],
+        quality.base_failed(m).alias("base_failed"),
+        quality.kept(m, rules).alias("kept"),
+    )
