@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import langid, quality
+from sparkbars.llm import langid, quality, simhash
 from sparkbars.llm.columns import fold
+from sparkbars.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.base_failed(m).alias("base_failed"),
         quality.kept(m, rules).alias("kept"),
     )
+
+
+@register("op3_simhash_components")
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prints = cut(docs.select("doc_id", simhash.fingerprint(F.col("text")).alias("fingerprint")))
+    return simhash.grouped(prints).select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"),
+    )
