@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import langid, quality, simhash
+from sparkbars.llm import decontaminate, langid, quality, simhash
 from sparkbars.llm.columns import fold
 from sparkbars.session import cut
 
@@ -60,3 +60,39 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         F.col("first.doc_id").alias("component_id"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op4_decontaminate", f"""
+WITH docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+         lambda i: array_to_string(w[i : i + least(len(w), 10) - 1], ' '))) AS gram
+  FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos,
+         unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS gram
+  FROM docs CROSS JOIN sizes WHERE len(w) >= size),
+hits AS (SELECT doc_id, item_id, size, pos FROM grams JOIN windows USING (size, gram)),
+marked AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM hits) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN listed USING (doc_id)
+""")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("contamination")
+    judged = decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contamination")
+    items = decontaminate.items_hit(found)
+    return judged.select(
+        "doc_id", found["n_words"].alias("n_words"), decontaminate.hit_words(found).alias("n_hit"), items.alias("items")
+    ).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

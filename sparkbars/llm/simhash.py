@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
-from sparkbars.llm.columns import free_name, only, quoted
+from sparkbars.llm.columns import free_name, quoted
 from sparkbars.llm.components import components
 from sparkbars.session import cut
 
@@ -64,7 +65,7 @@ def simhash(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones.ravel() > n).tobytes(), "big")
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Fingerprint of a text column; its 64 bits as a signed long."""
     for batch in batches:
