@@ -34,6 +34,7 @@ from sparkbars.llm.pretokens import Splitter
 
 MAX_RANK_FILE = 64 << 20
 MEMO_ENTRIES = 200_000
+MEMO_CHARS = 256
 CHARS_AT_ONCE = 4 << 20
 PIECES_AT_ONCE = 1 << 20
 MERGED_AT_ONCE = 1 << 15
@@ -116,6 +117,7 @@ class Encoder:
         self.by_left, self.by_right = pair_ranks(ranks)
         self.queue = RankQueue(max(ranks.values()))
         self.memo: dict[str, bytes] = {}
+        self.large: list[str] = []
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.byte_pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
@@ -168,6 +170,10 @@ class Encoder:
         """Puts the ids of all these pre-tokens into the memo."""
         memo = self.memo
         missing = [p for p in pieces if p not in memo]
+        for p in self.large:  # a pre-token of a megabyte isn't worth its place
+            if p not in pieces:
+                memo.pop(p, None)
+        self.large = [p for p in pieces if len(p) > MEMO_CHARS]
         if len(memo) + len(missing) > MEMO_ENTRIES:
             self.memo = memo = {p: memo[p] for p in pieces if p in memo}
         spelled = [p.encode("utf-8", "surrogatepass") for p in missing]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import bpe, decontaminate, langid, quality, simhash
+from sparkbars.llm import bpe, decontaminate, langid, quality, simhash, token_counts
 from sparkbars.llm.columns import fold
 from sparkbars.session import cut
 
@@ -104,3 +104,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tokens = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return docs.select("doc_id", tokens.digest(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
+TOKEN_LIMIT = 512
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counter = token_counts.TokenCounter(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    text = F.col("text")
+    return docs.select(
+        "doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), counter.count(text).alias("c")
+    ).select("doc_id", "n_bytes", "c.n_tokens", (F.col("c.n_tokens") > TOKEN_LIMIT).alias("over_limit"), "c.n_chunks", "c.n_widened")
