@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import bpe, decontaminate, langid, quality, simhash, token_counts
+from sparkbars.llm import bpe, decontaminate, langid, quality, simhash, token_counts, toxicity
 from sparkbars.llm.columns import fold
 from sparkbars.session import cut
 
@@ -117,3 +117,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), counter.count(text).alias("c")
     ).select("doc_id", "n_bytes", "c.n_tokens", (F.col("c.n_tokens") > TOKEN_LIMIT).alias("over_limit"), "c.n_chunks", "c.n_widened")
+
+
+@register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
