@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import bpe, decontaminate, langid, quality, simhash, token_counts, toxicity
+from sparkbars.llm import bpe, decontaminate, langid, quality, sharding, simhash, token_counts, toxicity
 from sparkbars.llm.columns import fold
 from sparkbars.session import cut
 
@@ -126,3 +126,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
     scored = docs.select("doc_id", held_out.alias("held_out"), model.score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+SHARD_BYTES = 1 << 20  # one read of a shuffling loader
+
+
+@register("op5_shards", f"""
+WITH keyed AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+         CAST('0x' || substr(md5(coalesce('=' || CAST(doc_id AS VARCHAR), '-') || chr(31) || coalesce('=' || text, '-')), 1, 15) AS BIGINT) AS key
+  FROM documents),
+levels AS (SELECT d, key >> (60 - d) AS bucket, sum(n_bytes) AS b, count(*) AS n FROM keyed, range(0, 61) r(d) GROUP BY ALL),
+closed AS (
+  SELECT doc_id, n_bytes, key, min(d) AS depth FROM keyed, levels
+  WHERE key >> (60 - d) = bucket AND (b <= {SHARD_BYTES} OR d = 60) GROUP BY ALL)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(bucket), CAST(depth AS INTEGER), '0') END AS shard,
+       CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS slice, CAST(b AS BIGINT) AS shard_bytes, n AS shard_rows, b > {SHARD_BYTES} AS over_limit
+FROM closed JOIN levels ON d = depth AND bucket = key >> (60 - depth)
+""")
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
