@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import bpe, decontaminate, langid, quality, sharding, simhash, token_counts, toxicity
+from sparkbars.llm import bpe, decontaminate, langid, quality, sharding, simhash, token_counts, token_files, toxicity
 from sparkbars.llm.columns import fold
-from sparkbars.session import cut
+from sparkbars.session import cut, scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +147,14 @@ FROM closed JOIN levels ON d = depth AND bucket = key >> (60 - depth)
 """)
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@register("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    layout = token_files.Layout()
+    tokens = token_files.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, layout)
+    folder = f"{scratch_root(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    manifest, where = token_files.materialise(tokens, folder, layout)
+    return where.join(manifest.select("shard", F.col("sha256").alias("shard_sha256")), "shard")
