@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import bpe, decontaminate, langid, quality, sharding, simhash, token_counts, token_files, toxicity
+from sparkbars.llm import bpe, decontaminate, langid, quality, quotes, sharding, simhash, token_counts, token_files, toxicity
 from sparkbars.llm.columns import fold
 from sparkbars.session import cut, scratch_root
 
@@ -158,3 +158,37 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     manifest, where = token_files.materialise(tokens, folder, layout)
     return where.join(manifest.select("shard", F.col("sha256").alias("shard_sha256")), "shard")
+
+
+@register("op7_quotation_links", r"""
+WITH RECURSIVE raw AS (SELECT row_number() OVER () AS id, conv_id, turn, role, translate(coalesce(text, ''), chr(1) || chr(2), '') AS text FROM conversations),
+cut AS (SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM raw),
+lines AS (SELECT id, conv_id, turn, pos, len(regexp_replace(regexp_extract(line, '^[ \t]*(>[ \t]?)+'), '[^>]', '', 'g')) AS level,
+                 regexp_replace(line, '^[ \t]*(>[ \t]?)+', '') AS content FROM cut),
+own AS (SELECT id, regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY pos) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS own_text,
+               count(*) FILTER (level > 0) AS quoted_lines, max(level) AS quote_depth FROM lines GROUP BY id),
+breaks AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM lines),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS block FROM breaks),
+blocks AS (SELECT id, conv_id, turn, level, string_agg(content, ' ' ORDER BY pos) AS content FROM numbered GROUP BY id, conv_id, turn, level, block),
+passages AS (
+  SELECT DISTINCT conv_id, turn, level, p FROM (
+    SELECT conv_id, turn, level, trim(regexp_replace(lower(unnest(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))),
+           '[^\p{L}\p{N}]+', ' ', 'g')) AS p FROM blocks WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+  WHERE length(p) >= 12),
+firsts AS (SELECT conv_id, p, min(turn) AS original FROM passages WHERE level = 0 GROUP BY ALL),
+linked AS (SELECT conv_id, turn, max(original) FILTER (level = 1) AS quoted_turn, count(DISTINCT original) AS n_links
+           FROM passages JOIN firsts USING (conv_id, p) WHERE level > 0 AND original < turn GROUP BY ALL),
+turns AS (SELECT conv_id, turn, row_number() OVER w - 1 AS reply_order, lag(turn) OVER w AS previous
+          FROM (SELECT DISTINCT conv_id, turn FROM raw WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+parents AS (SELECT conv_id, turn, reply_order, coalesce(quoted_turn, previous) AS parent_turn, coalesce(n_links, 0) AS n_links
+            FROM turns LEFT JOIN linked USING (conv_id, turn)),
+deep AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS depth FROM parents WHERE parent_turn IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, d.depth + 1 FROM parents p JOIN deep d ON p.conv_id = d.conv_id AND p.parent_turn = d.turn)
+SELECT raw.conv_id, raw.turn, role, own_text, quoted_lines, CAST(quote_depth AS BIGINT) AS quote_depth, coalesce(n_links, 0) AS n_links,
+       parent_turn, depth, reply_order
+FROM raw JOIN own USING (id) LEFT JOIN parents p ON p.conv_id = raw.conv_id AND p.turn = raw.turn
+LEFT JOIN deep d ON d.conv_id = raw.conv_id AND d.turn = raw.turn
+""")
+def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
