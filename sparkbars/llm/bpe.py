@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,8 +35,8 @@ from sparkbars.llm.pretokens import Splitter
 MAX_RANK_FILE = 64 << 20
 MEMO_ENTRIES = 200_000
 MEMO_CHARS = 256
-CHARS_AT_ONCE = 4 << 20
-PIECES_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 2 << 20
+PIECES_AT_ONCE = 1 << 19
 MERGED_AT_ONCE = 1 << 15
 WORD_BITS = 256
 BARRIER = (1 << 24) - 1
@@ -189,19 +189,19 @@ class Encoder:
             for i, a, b in zip(own, first, first[1:]):
                 memo[missing[i]] = packed[a:b]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        at = 0
-        while at < len(texts):
-            stop, chars = at, 0
-            while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= CHARS_AT_ONCE):
-                chars += len(texts[stop])
-                stop += 1
-            if chars > CHARS_AT_ONCE:
-                yield b"".join(x for pieces in self.splitter.stretches(texts[at], PIECES_AT_ONCE) for x in self.known([pieces]))
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers; a few texts are held at a time."""
+        lists, chars = [], 0
+        for text in texts:
+            if lists and chars + len(text) > CHARS_AT_ONCE:
+                yield from self.known(lists)
+                lists, chars = [], 0
+            if len(text) > CHARS_AT_ONCE:
+                yield b"".join(x for pieces in self.splitter.stretches(text, PIECES_AT_ONCE) for x in self.known([pieces]))
             else:
-                yield from self.known([self.splitter.split(text) for text in texts[at:stop]])
-            at = stop
+                lists.append(self.splitter.split(text))
+                chars += len(text)
+        yield from self.known(lists)
 
     def known(self, lists: list[list[str]]) -> Iterator[bytes]:
         self.learn(set(chain.from_iterable(lists)))
@@ -229,8 +229,8 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
     return Encoder(ranks, Splitter(pattern, tiktoken_class(ranks)))
 
 
-def texts_of(batch: pa.Array) -> list[str]:
-    return [t or "" for t in batch.to_pylist()]
+def texts_of(batch: pa.Array) -> Iterator[str]:
+    return (t.as_py() or "" for t in batch)
 
 
 class Tokenizer:
@@ -263,6 +263,25 @@ class Tokenizer:
 
         return decode(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<n_tokens, ids, round_trip>: ids of every text, and whether decoding them gives its bytes back."""
+        shared = self.shared
+        names = ["n_tokens", "ids", "round_trip"]
+        kind = T.StructType().add(names[0], T.LongType()).add(names[1], T.BinaryType()).add(names[2], T.BooleanType())
+
+        @F.arrow_udf(kind)
+        def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = encoder(*shared.value)
+            for batch in batches:
+                ids, same = [], []
+                for content, found in zip(batch.cast(pa.binary()), own.encode(texts_of(batch))):
+                    ids.append(found)
+                    same.append(own.decode(found) == (content.as_py() or b""))
+                sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
+                yield pa.StructArray.from_arrays([sizes, pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], names)
+
+        return round_trip(text)
+
     def digest(self, text: Column) -> Column:
         """struct<n_tokens, ids_sha256, decoded_sha256>: a round trip of every text, without keeping the ids."""
         shared = self.shared
