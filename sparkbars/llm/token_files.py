@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkbars.llm.bpe import read_ranks
 from sparkbars.llm.columns import only
-from sparkbars.session import cut
+from sparkbars.session import cut, scratch_root
 
 ROUNDS = 6
 CHARS_AT_ONCE = 1 << 22
@@ -112,7 +113,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, layout: Layout, doc_id: st
             if ids:
                 yield batch_of(batch.column(0)[first:], ids)
 
-    return cut(own.mapInArrow(encode, f"doc_id {kind}, part int, at long, n long, ids binary"))
+    table = own.mapInArrow(encode, f"doc_id {kind}, part int, at long, n long, ids binary")
+    folder = f"{scratch_root(docs.sparkSession).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    table.write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(table.schema).parquet(folder)
 
 
 def placed(tokens: DataFrame) -> tuple[DataFrame, int]:
@@ -126,10 +130,11 @@ def placed(tokens: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _pieces(layout: Layout, n: int):
-    """Cuts the ids of texts at sequence borders: (shard, slot, at, ids)."""
+    """Cuts the ids of texts at sequence borders: (shard, slot, at, ids), the ids compressed for the shuffle."""
     width = np.dtype(layout.dtype).itemsize
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
         for batch in batches:
             size, start = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             first, last = start // layout.length, (start + size - 1) // layout.length
@@ -141,12 +146,12 @@ def _pieces(layout: Layout, n: int):
             # the pieces of a text follow one another, so the bytes stay as they are and only the cuts are new
             content = pa.concat_arrays([batch.column(2)])
             data = b"".join(x.as_buffer().to_pybytes() for x in content)
-            offsets = np.r_[0, np.cumsum((stop - begin) * width)].astype(np.int64)
-            cuts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            offsets = np.r_[0, np.cumsum((stop - begin) * width)]
+            packed = [press.compress(data[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
             slot = slots(number, n, layout.key)
             yield pa.RecordBatch.from_arrays(
                 [pa.array((slot // layout.per_shard).astype(np.int32)), pa.array(slot), pa.array((begin % layout.length).astype(np.int32)),
-                 cuts.cast(pa.binary())],
+                 pa.array(packed, pa.binary())],
                 ["shard", "slot", "at", "ids"],
             )
 
@@ -162,6 +167,7 @@ def _writer(folder: str, layout: Layout, n: int):
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(folder)
+        unpress = zstandard.ZstdDecompressor()
         sink, shard, digest, size, name = None, -1, None, 0, ""
         done = []
 
@@ -194,7 +200,7 @@ def _writer(folder: str, layout: Layout, n: int):
                     shard, digest, size = own, hashlib.sha256(), 0
                     name = f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
                     sink = system.open_output_stream(name)
-                put(ids)
+                put(unpress.decompress(ids))
         if sink is not None:
             close()
         columns = list(zip(*done)) if done else [(), (), (), ()]
