@@ -101,9 +101,9 @@ def _sliced(rows: DataFrame, limit: int) -> DataFrame:
     numbered = row_index(chunked, ["key"], "chunk", ["row"], "number").withColumn("fitting", fitting)
     start = F.floor(F.col("number") / F.col("fitting"))
     here = F.least(F.col("fitting"), F.col("shard_rows") - start * F.col("fitting"))
-    return numbered.withColumn("slice", start.cast("long")).withColumn("shard_rows", here.cast("long")).withColumn(
-        "shard_bytes", (here * F.col("n_bytes")).cast("long")
-    )
+    return numbered.withColumns({
+        "slice": start.cast("long"), "shard_rows": here.cast("long"), "shard_bytes": (here * F.col("n_bytes")).cast("long"),
+    })
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
