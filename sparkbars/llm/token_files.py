@@ -38,6 +38,8 @@ from sparkbars.session import cut, scratch_root
 
 ROUNDS = 6
 CHARS_AT_ONCE = 1 << 22
+ZSTD_LEVEL = 9
+ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": ZSTD_LEVEL, "parquet.page.size": 8 << 20}
 
 
 @dataclass(frozen=True)
@@ -115,7 +117,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, layout: Layout, doc_id: st
 
     table = own.mapInArrow(encode, f"doc_id {kind}, part int, at long, n long, ids binary")
     folder = f"{scratch_root(docs.sparkSession).rstrip('/')}/ids-{uuid.uuid4().hex}"
-    table.write.option("compression", "zstd").parquet(folder)
+    table.write.options(**ZSTD).parquet(folder)
     return docs.sparkSession.read.schema(table.schema).parquet(folder)
 
 
@@ -134,7 +136,7 @@ def _pieces(layout: Layout, n: int):
     width = np.dtype(layout.dtype).itemsize
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor()
+        press = zstandard.ZstdCompressor(ZSTD_LEVEL)
         for batch in batches:
             size, start = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             first, last = start // layout.length, (start + size - 1) // layout.length
