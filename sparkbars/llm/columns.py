@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bounds what travels to Python at once by bytes: 10,000 rows of text may be anything from 1 MB to 1 GB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have yet, whatever its extra columns are called."""
     taken = {c.lower() for c in df.columns}

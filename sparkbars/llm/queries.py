@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkbars.llm import bpe, decontaminate, langid, quality, quotes, sharding, simhash, token_counts, token_files, toxicity
-from sparkbars.llm.columns import fold
+from sparkbars.llm.columns import bounded_batches, fold
 from sparkbars.session import cut, scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @register("op10_language_id")
