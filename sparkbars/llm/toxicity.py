@@ -6,9 +6,10 @@ unknown texts minus ``prior`` times the loss on positives. Where that estimate f
 zero, which no risk can, it counts as zero, and the step follows the positives alone (Kiryo et al., 2017).
 
 The features of a text are the hashes of its distinct words and of their byte n-grams, the
-margin is a constant plus the weights of the distinct features. Weights that carry little
-are pulled to zero, so that a few telling words count as much in a long text as in a short
-one. Several classifiers learn on a bounded sample, one Spark group each, all from the same
+margin is a constant plus the weights of the distinct features. Only features get a weight
+that are in more positives than their share of unknown texts explains, by ``lift`` standard
+deviations, and weights that carry little are pulled to zero: a few telling words then count
+as much in a long text as in a short one. Several classifiers learn on a bounded sample, one Spark group each, all from the same
 positives and each from its own share of unlabelled texts; their weights are averaged.
 
 Bounds: about ``positives`` and ``unlabelled`` rows are drawn by a hash of the id, all of them if there
@@ -38,6 +39,7 @@ BUCKETS = 1 << 18
 GRAM = 4
 MEMO_WORDS = 100_000
 MEMO_BYTES = 64
+MIN_POSITIVES = 3
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,8 @@ class Settings:
     epochs: int = 16
     batch: int = 512
     rate: float = 0.1
-    pull: float = 4e-3
+    pull: float = 3e-4
+    lift: float = 5.0
     seed: int = 11
 
 
@@ -82,6 +85,14 @@ class Features:
         return out
 
 
+def _lifted(known: list, unknown: list, lift: float) -> np.ndarray:
+    """True for buckets that positives hold more often than unknown texts do."""
+    held = np.bincount(np.concatenate(known), minlength=BUCKETS)
+    share = (np.bincount(np.concatenate(unknown), minlength=BUCKETS) + 0.5) / (len(unknown) + 1)
+    spread = np.sqrt(len(known) * share * (1 - share))
+    return (held >= MIN_POSITIVES) & (held - len(known) * share >= lift * spread)
+
+
 def fit(texts: list, positive: np.ndarray, prior: float, settings: Settings, seed: int) -> np.ndarray:
     """Weights of one classifier, the constant last."""
     weights, moment, constant, constant_moment = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), 0.0, 1e-8
@@ -90,6 +101,8 @@ def fit(texts: list, positive: np.ndarray, prior: float, settings: Settings, see
         return np.r_[weights, constant]
     found = Features()
     rows = [np.fromiter(sorted(found.of(t)), np.int32) for t in texts]
+    lifted = _lifted([rows[i] for i in known], [rows[i] for i in unknown], settings.lift)
+    rows = [r[lifted[r]] for r in rows]
     size = np.array([len(r) for r in rows])
     start, index = np.r_[0, np.cumsum(size)], np.concatenate(rows)
     random = np.random.default_rng(seed)
