@@ -140,7 +140,7 @@ def resume_increment(spark, sf):
       arg_max(funding_rate, k) AS funding_rate
     FROM (SELECT epoch_ms(o_orderdate) AS calc_time, o_totalprice / 1000000 AS funding_rate,
             (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) * 1000000000 + o_orderkey AS k
-          FROM orders WHERE o_orderstatus IN ('F', 'O'))
+          FROM orders)
     GROUP BY calc_time""",
 )
 def funding_merged(spark, sf):
@@ -149,11 +149,11 @@ def funding_merged(spark, sf):
 
     def newest(rows):
         keyed = rows.withColumn("t", ms)
-        return B.latest_per_key(keyed, ["t"], [F.col("o_orderkey").desc()])
+        return B.latest_per_key(keyed, ["t"], ["o_orderkey"])
 
     old = newest(orders.filter("o_orderstatus = 'F'")).select(
         ms.cast("string").alias("a"), rate.cast("string").alias("b"))
-    new = newest(orders.filter("o_orderstatus = 'O'")).select(
+    new = newest(orders.filter("o_orderstatus <> 'F'")).select(
         ms.cast("string").alias("calc_time"), rate.cast("string").alias("last_funding_rate"))
     merged = B.merge_funding(B.normalize_funding(old), B.normalize_funding(new))
     return merged.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))

@@ -1,6 +1,7 @@
 """Backtests, sweeps, sizing, admission and ledgers."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkbars.catalog.inputs import BARS_PER_YEAR, event_bars, event_bars_sql, table
@@ -314,18 +315,47 @@ _COUPLED, _ = P.runs_of([P.coupled(c) for c in P.expand_grid(COUPLED_GRID)])
         _COUPLED,
         """SELECT run_id, symbol, sharpe, max_dd_pct, round(sharpe - 0.02::DOUBLE * max_dd_pct, 6) + 0.0 AS score,
         total_return_pct, n_trades, rank_no FROM (SELECT *, row_number() OVER (ORDER BY sharpe - 0.02::DOUBLE * max_dd_pct DESC,
-        symbol, run_id) AS rank_no FROM shown) WHERE rank_no <= 10""",
+        symbol, run_id) AS rank_no FROM shown)""",
         CURVE_SQL, metrics_sql(COST, BARS_PER_YEAR), _SHOWN,
     ),
 )
 def sweep_coupled(spark, sf):
     out = P.sweep_backtest(event_bars(spark, sf), COUPLED_GRID, rank_by="score", couple=True, **OPTIONS)
-    top = out.select("run_id", "symbol", "sharpe", "max_dd_pct", "score", "total_return_pct", "n_trades").limit(10)
-    # Ten rows: numbering them needs no distribution.
-    from pyspark.sql import Window as W
-
+    shown = out.select("run_id", "symbol", "sharpe", "max_dd_pct", "score", "total_return_pct", "n_trades")
+    # One row per run and symbol: numbering them needs no distribution.
     order = W.orderBy(F.col("score").desc(), "symbol", "run_id")
-    return top.withColumn("rank_no", F.row_number().over(order).cast("long")).withColumn("score", F.round("score", 6))
+    return shown.withColumn("rank_no", F.row_number().over(order).cast("long")).withColumn("score", F.round("score", 6))
+
+
+ACCOUNT_GRID = {"entry_period": [20, 40], "exit_period": 10, "atr_period": 20, "atr_mult": 2.0, "risk_pct": [0.004, 0.05],
+                "cash": [2000.0, 50000.0], "max_leverage": [2.0], "commission": 0.0001}
+_ACCOUNT_PERIODS = [Run(i, 20 if i < 4 else 40, 10, 20, 2.0, 0.0) for i in range(8)]
+_ACCOUNTS = """
+acct(run_id, cash, risk) AS (VALUES (0, 2000.0, 0.004), (1, 50000.0, 0.004), (2, 2000.0, 0.05), (3, 50000.0, 0.05),
+  (4, 2000.0, 0.004), (5, 50000.0, 0.004), (6, 2000.0, 0.05), (7, 50000.0, 0.05))"""
+
+
+def _accounts_sql() -> str:
+    size = "floor(least({cap} * f.risk / abs(entry_price - stop), {cap} * 2 / entry_price) * 1000) / 1000"
+    fold = fold_sql(0.0001, size)
+    fold = fold.replace("CAST(10000 AS DOUBLE) AS capital, CAST(0 AS BIGINT) AS skipped",
+                        "CAST(cash AS DOUBLE) AS capital, CAST(0 AS BIGINT) AS skipped, CAST(risk AS DOUBLE) AS risk")
+    fold = fold.replace("FROM (SELECT DISTINCT run_id, symbol FROM cand)", "FROM (SELECT DISTINCT run_id, symbol FROM cand) JOIN acct USING (run_id)")
+    head, tail = fold.split("THEN 1 ELSE 0 END\n  FROM fold f")
+    return ctes(
+        event_bars_sql(), runs_sql(_ACCOUNT_PERIODS), _ACCOUNTS, head + "THEN 1 ELSE 0 END, f.risk\n  FROM fold f" + tail,
+        f"stats AS (SELECT run_id, symbol, {_TRADE_STATS}, coalesce(sum(0.0001 * (entry_price + exit_price) * size) "
+        "FILTER (status = 'closed'), 0) AS fees FROM trades GROUP BY run_id, symbol)",
+        recursive=True,
+    ) + """SELECT a.run_id, s.symbol, CAST(cash AS DOUBLE) AS cash, CAST(risk AS DOUBLE) AS risk_pct, coalesce(n_trades, 0) AS n_trades,
+      round(coalesce(final_capital, cash), 4) AS final_capital, round(coalesce(fees, 0), 2) AS total_fees
+    FROM acct a CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN stats t ON t.run_id = a.run_id AND t.symbol = s.symbol"""
+
+
+@register("sweep_accounts", _accounts_sql())
+def sweep_accounts(spark, sf):
+    out = P.sweep_backtest(event_bars(spark, sf), ACCOUNT_GRID, periods_per_year=BARS_PER_YEAR)
+    return out.select("run_id", "symbol", "cash", "risk_pct", "n_trades", F.round("final_capital", 4).alias("final_capital"), "total_fees")
 
 
 DATA_GRID = {"entry_period": [20, 40], "atr_period": 20, "intensity_threshold": [0.0, 0.5], "horizon": [36, 72],
@@ -333,8 +363,9 @@ DATA_GRID = {"entry_period": [20, 40], "atr_period": 20, "intensity_threshold":
 _DATA_COMBOS = P.expand_grid(DATA_GRID)
 
 
-def _dataset_sweep_sql() -> str:
-    runs, _ = P.runs_of(_DATA_COMBOS)
+def _dataset_sweep_sql(combos=None) -> str:
+    combos = dict(enumerate(_DATA_COMBOS)) if combos is None else combos
+    runs = [Run(i, c["entry_period"], 10, 20, 2.0, c["intensity_threshold"]) for i, c in combos.items()]
     bars = runs_sql(runs).split("perrun AS")[0].strip().rstrip(",")
     per_run = " UNION ALL ".join(
         f"""SELECT {i} AS run_id, {c['horizon']} AS horizon, symbol, pos, close AS entry_price,
@@ -342,7 +373,7 @@ def _dataset_sweep_sql() -> str:
              WHEN close > high_{c['entry_period']} AND (close - high_{c['entry_period']}) / u > {c['intensity_threshold']}
              THEN 1 ELSE 0 END AS side
         FROM (SELECT *, CASE WHEN atr_20 > 0 THEN atr_20 ELSE 1.0 END AS u FROM chan)"""
-        for i, c in enumerate(_DATA_COMBOS)
+        for i, c in combos.items()
     )
     return ctes(
         event_bars_sql(), bars,
@@ -374,6 +405,23 @@ def sweep_dataset(spark, sf):
     ))
 
 
+BAD_GRID = {"horizon": [0, 36], "tp": [-0.01, 0.01], "sl": -0.005, "entry_period": [20], "intensity_threshold": 0.0}
+
+
+@register(
+    "sweep_dataset_errors",
+    "SELECT *, NULL::VARCHAR AS error FROM ("
+    + _dataset_sweep_sql({3: {"horizon": 36, "entry_period": 20, "intensity_threshold": 0.0}})
+    + """) UNION ALL SELECT run_id, 0, NULL, NULL, NULL, NULL, NULL, error FROM (VALUES (0, 'horizon must be at least 1'),
+      (1, 'horizon must be at least 1'), (2, 'tp must be above 0')) v(run_id, error)""",
+)
+def sweep_dataset_errors(spark, sf):
+    out = P.sweep_dataset(event_bars(spark, sf), BAD_GRID)
+    return rounded(out.select(
+        "run_id", "n_events", "label_1_rate", "label_neg1_rate", "label_0_rate", "mean_return", "mean_bars_held", "error"
+    ))
+
+
 SPLIT_MS = 1_705_536_000_000  # 2024-01-18
 
 

@@ -33,11 +33,18 @@ def is_position(position: Column) -> Column:
 
 
 def admission(action: Column, position: Column, has_pending: Column, size: Column) -> Column:
-    """Struct (admitted, side, quantity, reduce_only, reason) of an order command."""
+    """Struct (admitted, side, quantity, reduce_only, reason) of an order command.
+
+    An unknown position or pending flag blocks an order, as does an unknown size or action.
+    """
+    unsure = position.isNull() | has_pending.isNull()
+    position, has_pending = F.coalesce(position, F.lit(0.0)), F.coalesce(has_pending, F.lit(True))
+    action, size = F.coalesce(action, F.lit("")), F.coalesce(size, F.lit(0.0))
     opening = action.isin("BUY", "SELL")
     long_close, short_close = action == "CLOSE_LONG", action == "CLOSE_SHORT"
     reason = (
-        F.when(opening & is_position(position), "in_position")
+        F.when(unsure & (opening | long_close | short_close), "unknown_state")
+        .when(opening & is_position(position), "in_position")
         .when(opening & has_pending, "pending_order")
         .when(opening & ~(size > 0), "no_size")
         .when(long_close & ~(is_position(position) & (position > 0)), "no_long")

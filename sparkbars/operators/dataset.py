@@ -49,44 +49,40 @@ def features_with_labels(
 
 
 def dataset_meta(dataset: DataFrame, bars: DataFrame) -> DataFrame:
-    """One summary row; for no events every count is 0 and the maps are empty."""
-    is_label = lambda v: F.col("label") == v
+    """One summary row; for no events every count is 0 and the maps are empty.
+
+    The maps hold every label and barrier that occurs, in order.
+    """
     n = F.count(F.lit(1))
     stats = dataset.agg(
         n.alias("n_events"),
         F.count("label").alias("n_events_labeled"),
         F.count_if(F.col("truncated")).alias("n_truncated"),
-        *[F.count_if(is_label(v)).alias(f"_l{i}") for i, v in enumerate((-1, 0, 1))],
-        *[F.count_if(F.col("barrier_hit") == b).alias(f"_b_{b}") for b in _BARRIERS],
         F.avg("actual_return").alias("mean_actual_return"),
         F.avg("n_bars_held").alias("mean_n_bars_held"),
     )
     n_bars = bars.agg(F.count(F.lit(1)).alias("n")).scalar()
     median = quantiles(dataset, "actual_return", [0.5]).select(F.get("q", F.lit(0))).scalar()
 
-    def seen(pairs):
-        entries = F.array(*[F.struct(k.alias("k"), v.alias("v")) for k, v in pairs])
-        return F.map_from_entries(F.filter(entries, lambda e: e["v"] > 0))
+    def seen(column: str) -> Column:
+        # one row per value that occurs, counted before anything is put together
+        found = dataset.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("k")).agg(n.alias("v"))
+        return found.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).scalar()
 
-    counts = [(F.lit(v), F.col(f"_l{i}")) for i, v in enumerate((-1, 0, 1))]
-    rates = [(k, F.try_divide(v.cast("double"), F.col("n_events"))) for k, v in counts]
-    barriers = [(F.lit(b), F.col(f"_b_{b}")) for b in _BARRIERS]
-    return stats.select(
+    counts, barriers = seen("label"), seen("barrier_hit")
+    rates = F.transform_values(F.col("_labels"), lambda k, v: F.try_divide(v.cast("double"), F.col("n_events")))
+    return stats.withColumn("_labels", counts).select(
         "n_events", "n_events_labeled", "n_truncated",
         F.try_divide("n_events", n_bars).alias("coverage"),
-        seen(counts).alias("label_counts"),
-        seen(rates).alias("label_rates"),
-        seen(barriers).alias("barrier_hit_counts"),
+        F.col("_labels").alias("label_counts"),
+        rates.alias("label_rates"),
+        barriers.alias("barrier_hit_counts"),
         "mean_actual_return",
         median.alias("median_actual_return"),
         "mean_n_bars_held",
     )
 
 
-# Ways an event can end.
-_BARRIERS = ("upper", "lower", "timeout", "fixed_horizon")
-
-
 def period_stats(dataset: DataFrame) -> DataFrame:
     """Per calendar year: events, share of positive y_norm, mean and median y_norm, mean raw return."""
     time = F.col("event_time")

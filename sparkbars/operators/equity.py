@@ -146,7 +146,7 @@ def equity_curve(
     open_value = _unrealized(F.col("state.side"), F.col("close"), F.col("state.entry"), F.col("state.size"))
     return state.select(
         "run_id", "symbol", "pos",
-        F.coalesce(F.col("state.capital") + open_value, F.lit(float(initial_capital))).alias("equity"),
+        F.coalesce(F.col("state.capital") + open_value, _account(runs, "cash", initial_capital)).alias("equity"),
         F.coalesce("skipped", F.lit(False)).alias("skipped"),
     )
 
@@ -156,6 +156,14 @@ def _warmup_of(runs: Sequence[Run]) -> Column:
     return F.element_at(warmups, F.col("run_id"))
 
 
+def _account(runs: Sequence[Run], name: str, general: float) -> Column:
+    """An account value of the row's run."""
+    own = [x for r in runs if getattr(r, name) is not None for x in (F.lit(r.run_id), F.lit(float(getattr(r, name))))]
+    if not own:
+        return F.lit(float(general))
+    return F.coalesce(F.try_element_at(F.create_map(*own), F.col("run_id")), F.lit(float(general)))
+
+
 def drawdown(curve: DataFrame, initial_capital: float = 10_000.0) -> DataFrame:
     """Running peak (from the initial capital) and drawdown in percent, as a negative number, per bar."""
     chunked = curve.withColumn("_chunk", F.floor(F.col("pos") / HISTORY_CHUNK))
@@ -181,12 +189,13 @@ def run_metrics(
     on, without bars whose entry was refused. Sharpe leaves out the first ``warmup`` points.
     """
     ids = ["run_id", "symbol"]
+    cash, rate = _account(runs, "cash", initial_capital), _account(runs, "commission", commission)
     chunked = trade_blocks(trades, bars, runs).withColumn("_chunk", F.expr(f"pos div {HISTORY_CHUNK}"))
     peaked = running(
         chunked, ids, "_chunk", "pos", [Running("_peak", "max", F.col("highest"))], exclusive=True
     )
     # The worst fall of a block starts inside it or at the highest point before it.
-    peak = F.greatest(F.col("_peak"), F.lit(float(initial_capital)))
+    peak = F.greatest(F.col("_peak"), cash)
     fall = F.least(F.col("worst"), F.try_divide(F.col("lowest") - peak, peak))
     moved = peaked.groupBy(*ids).agg(
         F.sum("ret_sum").alias("_s1"),
@@ -196,7 +205,7 @@ def run_metrics(
     )
     closed, pnl = F.col("status") == "closed", F.col("pnl")
     won, lost = closed & (pnl > 0), closed & (pnl < 0)
-    fees = commission * (F.col("entry_price") + F.col("exit_price")) * F.col("size")
+    fees = rate * (F.col("entry_price") + F.col("exit_price")) * F.col("size")
     traded = trades.groupBy(*ids).agg(
         F.max_by("capital_after", "entry_pos").alias("_capital"),
         F.count_if(F.col("status") == "skipped").alias("_skipped"),
@@ -213,16 +222,17 @@ def run_metrics(
     zero_d = lambda c: F.coalesce(c, F.lit(0.0))
     points = F.greatest(F.col("last_pos") - F.col("warmup") + 1, F.lit(0)) + 1 - zero("_skipped")
     n_ret = points - 1 - F.col("warmup")
-    mean = zero("_s1") / n_ret
-    variance = (zero("_s2") - n_ret * mean * mean) / (n_ret - 1)
+    # Short histories have no counted return; shared parts are evaluated before their guard.
+    mean = F.try_divide(zero("_s1"), n_ret)
+    variance = F.try_divide(zero("_s2") - n_ret * mean * mean, n_ret - 1)
     sharpe = F.when(
         (n_ret > 1) & (zero("_s2") > 0) & (variance > 0),
-        mean / F.sqrt(variance) * F.sqrt(F.lit(float(periods_per_year))),
+        F.try_divide(mean, F.sqrt(variance)) * F.sqrt(F.lit(float(periods_per_year))),
     )
-    final = F.coalesce(F.col("_capital"), F.lit(float(initial_capital)))
+    final = F.coalesce(F.col("_capital"), cash)
     profit_factor = (
         F.when(zero("_n") == 0, F.lit(0.0))
-        .when(F.abs("_lost") > 0, zero("_won") / F.abs("_lost"))
+        .when(F.abs("_lost") > 0, F.try_divide(zero("_won"), F.abs("_lost")))
         .otherwise(F.lit(float("inf")))
     )
     joined = run_table(bars, runs).join(moved, ids, "left").join(traded, ids, "left")
@@ -230,7 +240,7 @@ def run_metrics(
         *ids,
         zero_d(sharpe).alias("sharpe"),
         zero_d(F.try_divide("_wins", "_n")).alias("win_rate"),
-        ((F.coalesce(F.col("_open_equity"), final) / initial_capital - 1) * 100).alias("total_return_pct"),
+        ((F.try_divide(F.coalesce(F.col("_open_equity"), final), cash) - 1) * 100).alias("total_return_pct"),
         F.abs(F.least(zero_d(F.col("_worst")), F.lit(0.0))).alias("max_dd_pct"),
         zero("_n").cast("long").alias("n_trades"),
         zero("_wins").cast("long").alias("n_wins"),

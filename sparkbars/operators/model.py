@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline
@@ -22,6 +22,24 @@ from sparkbars.session import cut
 REGRESSOR_PARAMS = dict(maxIter=400, maxDepth=5, stepSize=0.03, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
 CLASSIFIER_PARAMS = dict(maxIter=200, maxDepth=4, stepSize=0.05, seed=42)
 
+# Names under which configurations state training parameters.
+PUBLISHED_PARAMS = {
+    "n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate",
+    "colsample_bytree": "featureSubsetStrategy", "random_state": "seed",
+}
+
+
+def spark_params(params: Mapping[str, object], estimator: type) -> dict:
+    """Training parameters by Spark's names; an unknown one is refused by name."""
+    out = {}
+    for name, value in params.items():
+        own = PUBLISHED_PARAMS.get(name, name)
+        if not hasattr(estimator, own):
+            raise ValueError(f"unknown training parameter {name!r}; known: {', '.join(PUBLISHED_PARAMS)} and Spark's own")
+        out[own] = str(float(value)) if own == "featureSubsetStrategy" and not isinstance(value, str) else value
+    return out
+
+
 KEY_COLUMNS = ["symbol", "pos", "row_index", "fold", "role"]
 
 
@@ -39,7 +57,7 @@ def train_regressor(
     dataset: DataFrame, target: str = "y_norm", features: Sequence[str] | None = None, **params
 ) -> PipelineModel:
     features = list(features or feature_columns(dataset))
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="score", **{**REGRESSOR_PARAMS, **params})
+    gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="score", **{**REGRESSOR_PARAMS, **spark_params(params, GBTRegressor)})
     return _fit(dataset, features, gbt, target)
 
 
@@ -48,7 +66,7 @@ def train_classifier(
 ) -> PipelineModel:
     """Classifier of a 0/1 column; its score is the probability of 1."""
     features = list(features or feature_columns(dataset))
-    gbt = GBTClassifier(featuresCol="features", labelCol=target, **{**CLASSIFIER_PARAMS, **params})
+    gbt = GBTClassifier(featuresCol="features", labelCol=target, **{**CLASSIFIER_PARAMS, **spark_params(params, GBTClassifier)})
     return _fit(dataset, features, gbt, target)
 
 

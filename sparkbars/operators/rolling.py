@@ -82,15 +82,15 @@ class HaloFrame:
 
     def _doubled(self, rolls: Sequence[Roll]) -> None:
         before = self.df.columns
-        # Squares are summed around the chunk mean, which keeps the variance from cancelling.
-        centred = {f"_c_{v}": F.col(v) - self.over_chunk(F.avg(v)) for v in {r.value for r in rolls if r.how == "std"}}
-        if centred:
-            self.df = self.df.withColumns(centred)
-            self.df = self.df.withColumns({f"{c}_sq": F.col(c) * F.col(c) for c in centred})
+        # A spread is carried as (mean, squared distance from it), so nothing cancels and a value
+        # never depends on where a chunk begins.
+        spread = {f"_s_{v}": _moments(F.col(v), F.lit(0.0)) for v in {r.value for r in rolls if r.how == "std"}}
+        if spread:
+            self.df = self.df.withColumns(spread)
 
         def parts(r: Roll) -> list[tuple[str, str]]:
             if r.how == "std":
-                return [("sum", f"_c_{r.value}"), ("sum", f"_c_{r.value}_sq")]
+                return [("std", f"_s_{r.value}")]
             return [("sum" if r.how == "avg" else r.how, r.value)]
 
         longest: dict[tuple[str, str], int] = {}
@@ -108,7 +108,10 @@ class HaloFrame:
             for part, period in longest.items():
                 if 2**level <= period:
                     near = F.col(name(part, level - 1))
-                    steps[name(part, level)] = _merge(part[0], near, F.lag(near, half).over(ordered))
+                    far = F.lag(near, half).over(ordered)
+                    steps[name(part, level)] = (
+                        _merge_moments(near, half, far, half) if part[0] == "std" else _merge(part[0], near, far)
+                    )
             self.df = self.df.withColumns(steps)
 
         def window(part: tuple[str, str], r: Roll) -> Column:
@@ -117,14 +120,19 @@ class HaloFrame:
                 c = F.col(name(part, level))
                 return F.lag(c, rows).over(ordered) if rows else c
 
-            if part[0] != "sum":
+            if part[0] in ("max", "min"):
                 top = r.period.bit_length() - 1
                 return _merge(part[0], back(top, r.shift), back(top, r.shift + r.period - 2**top))
             offset, total = r.shift, None
             for level in range(r.period.bit_length()):
                 if r.period >> level & 1:
                     piece = back(level, offset)
-                    total = piece if total is None else total + piece
+                    if total is None:
+                        total = piece
+                    elif part[0] == "std":
+                        total = _merge_moments(total, offset - r.shift, piece, 2**level)
+                    else:
+                        total = total + piece
                     offset += 2**level
             return total
 
@@ -132,11 +140,7 @@ class HaloFrame:
         for r in rolls:
             values = [window(part, r) for part in parts(r)]
             if r.how == "std":
-                mean, mean_sq = values[0] / r.period, values[1] / r.period
-                variance = mean_sq - mean * mean
-                # What is left after cancelling a constant series counts as no spread.
-                flat = F.when(variance <= mean_sq * 1e-13, F.lit(0.0))
-                outs[r.out] = F.when(variance.isNotNull(), flat.otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))))
+                outs[r.out] = F.sqrt(values[0]["m2"] / r.period)
             else:
                 outs[r.out] = values[0] / r.period if r.how == "avg" else values[0]
         self.df = self.df.withColumns(outs).select(*before, *outs)
@@ -152,6 +156,19 @@ def halo_frame(bars: DataFrame, lookback: int, chunk_rows: int | None = None) ->
     return HaloFrame(bars, lookback, chunk_rows or max(CHUNK_ROWS, 2 * lookback))
 
 
+def _moments(mean: Column, m2: Column) -> Column:
+    """struct<mean, m2>, NULL where the mean is."""
+    return F.when(mean.isNotNull(), F.struct(mean.cast("double").alias("mean"), m2.alias("m2")))
+
+
+def _merge_moments(a: Column, n: int, b: Column, m: int) -> Column:
+    """Mean and squared distances of two neighbouring windows of ``n`` and ``m`` rows; NULL if either is."""
+    apart = b["mean"] - a["mean"]
+    return _moments(
+        a["mean"] + apart * (m / (n + m)), a["m2"] + b["m2"] + apart * apart * (n * m / (n + m))
+    )
+
+
 def _merge(how: str, a: Column, b: Column) -> Column:
     """Two neighbouring windows as one; NULL if either is."""
     if how == "sum":

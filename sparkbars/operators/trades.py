@@ -26,7 +26,10 @@ SIGNAL_CHUNK = 65_536
 
 @dataclass(frozen=True)
 class Run:
-    """One parameter set of the breakout rule."""
+    """One parameter set of the breakout rule, and of the account that trades it.
+
+    Account values left open are those of the backtest.
+    """
 
     run_id: int
     entry_period: int = 20
@@ -34,6 +37,10 @@ class Run:
     atr_period: int = 20
     atr_mult: float = 2.0
     intensity_threshold: float = 0.0
+    cash: float | None = None
+    commission: float | None = None
+    risk_pct: float | None = None
+    max_leverage: float | None = None
 
     @property
     def warmup(self) -> int:
@@ -155,17 +162,32 @@ def select_trades(
     initial_capital: float = 10_000.0,
     commission: float = 0.0005,
     sizer: ScalarSizer | None = None,
+    runs: Sequence[Run] = (),
 ) -> DataFrame:
     """Candidates actually tried: one position at a time, capital compounding trade by trade.
 
+    Account values of a run in ``runs`` go before the general ones; a run that names a
+    risk or a leverage is sized by them.
+
     The next entry comes strictly after the exit bar and an unfinished trade blocks the
     rest. ``status`` is closed, open, or skipped for an entry whose size was zero.
     """
-    size_of = sizer or scalar_risk_size()
+    general = sizer or scalar_risk_size()
+    accounts = {
+        r.run_id: (
+            initial_capital if r.cash is None else r.cash,
+            commission if r.commission is None else r.commission,
+            general if r.risk_pct is None and r.max_leverage is None else scalar_risk_size(
+                **{k: v for k, v in (("risk_pct", r.risk_pct), ("max_leverage", r.max_leverage)) if v is not None}
+            ),
+        )
+        for r in runs
+    }
 
     def step(rows: pd.DataFrame, state):
         # state: position from which an entry is possible, capital, entries skipped so far
-        free_from, capital, skipped = state or (-1, initial_capital, 0)
+        cash, rate, size_of = accounts.get(int(rows["run_id"].iat[0]), (initial_capital, commission, general))
+        free_from, capital, skipped = state or (-1, cash, 0)
         pos = rows["pos"].to_numpy()
         exits = rows["exit_pos"].to_numpy(dtype="float64")
         cols = {c: rows[c].to_numpy() for c in ("side", "entry_price", "stop_price", "exit_price", "atr", "atr_mult")}
@@ -184,7 +206,7 @@ def select_trades(
                 taken.append((i, size, None, capital, capital, skipped, "open"))
                 free_from = np.iinfo(np.int64).max
                 break
-            fees = commission * (entry + exit_price) * size
+            fees = rate * (entry + exit_price) * size
             pnl = int(cols["side"][i]) * (exit_price - entry) * size - fees
             taken.append((i, size, pnl, capital, capital + pnl, skipped, "closed"))
             capital += pnl

@@ -27,10 +27,30 @@ SIZE_COLUMNS = {"risk": risk_size, "volatility_target": vol_target_size}
 GATES = {"max_drawdown": drawdown_gate, "allow_all": open_gate, "position": position_gate}
 
 
-def _breakout(intensity_threshold: float = 0.0, signed: bool = True, **_):
+# Parameters of a trigger that are periods of the indicator table it reads.
+TRIGGER_PERIODS = ("entry_period", "exit_period", "atr_period")
+
+
+def _breakout(intensity_threshold: float = 0.0, signed: bool = True):
     return breakout_event(intensity_threshold, signed)
 
 
+def indicator_periods(indicators: Mapping[str, object], trigger: Mapping[str, object]) -> dict:
+    """Indicator settings with the periods of the trigger, which must not contradict them."""
+    out = dict(indicators)
+    for name, value in trigger.get("params", {}).items():
+        if name in TRIGGER_PERIODS:
+            if out.setdefault(name, value) != value:
+                raise ValueError(f"the trigger asks for {name} {value}, the indicators for {out[name]}")
+    return out
+
+
+def build_trigger(trigger: Mapping[str, object]):
+    """The trigger of a configuration; its periods belong to the indicator table."""
+    params = {k: v for k, v in trigger.get("params", {}).items() if k not in TRIGGER_PERIODS}
+    return build(TRIGGERS, {**trigger, "params": params}, "trigger")
+
+
 TRIGGERS = {"breakout": _breakout}
 
 

@@ -26,9 +26,10 @@ class Research:
     dataset: DataFrame
     meta: DataFrame
     yearly: DataFrame | None
-    ic: DataFrame
+    ic: DataFrame | None
     staircase: DataFrame | None
-    model: PipelineModel
+    model: PipelineModel | None
+    test_yearly: DataFrame | None = None
 
 
 def load_config(path: str) -> dict:
@@ -49,34 +50,42 @@ def config_dataset(spark: SparkSession, cfg: Mapping, range_key: str) -> tuple[D
         bars = bars.withColumn("symbol", F.lit(data.get("symbol", "")))
     if "pos" in bars.columns:
         bars = bars.drop("pos")
-    prepared = cut(add_indicators(add_position(bars), **cfg.get("indicators", {})))
     trigger = cfg["trigger"]
+    prepared = cut(add_indicators(add_position(bars), **C.indicator_periods(cfg.get("indicators", {}), trigger)))
     boolean = not trigger.get("params", {}).get("signed", True)
     rows = D.build_dataset(
-        prepared, C.build(C.TRIGGERS, trigger, "trigger"), C.build_features(cfg.get("features")),
+        prepared, C.build_trigger(trigger), C.build_features(cfg.get("features")),
         C.build(C.LABELERS, cfg["labeler"], "labeler"), boolean,
     )
     return prepared, cut(rows)
 
 
 def run_research(spark: SparkSession, cfg: Mapping, out_dir: str) -> Research:
-    """Dataset, yearly table, model and its ranking quality.
+    """Dataset, yearly table, model and its ranking quality; without a ``model`` section no model.
 
+    A test range also has its dataset written and its yearly table made.
     With ``test_range`` the model is judged out of sample; else with ``cv_folds`` above 1 by
     purged cross-validation; else on the last part of the rows.
     """
-    data, model_cfg = cfg["data"], cfg.get("model", {})
+    data, model_cfg = cfg["data"], cfg.get("model") or {}
     target, params = model_cfg.get("target", "y_norm"), model_cfg.get("params", {})
     train_key = "train_range" if "train_range" in data else "date_range"
     bars, rows = config_dataset(spark, cfg, train_key)
     write_dataset(rows, f"{out_dir}/dataset")
     meta = D.dataset_meta(rows, bars)
     yearly = D.period_stats(rows) if "y_norm" in rows.columns else None
+    test, test_yearly = None, None
+    if "test_range" in data:
+        test = config_dataset(spark, cfg, "test_range")[1]
+        write_dataset(test, f"{out_dir}/dataset_test")
+        test_yearly = D.period_stats(test) if "y_norm" in test.columns else None
+    if not cfg.get("model"):
+        return Research(rows, meta, yearly, None, None, None, test_yearly)
     names = M.feature_columns(rows)
     staircase = None
-    if "test_range" in data:
+    if test is not None:
         model = M.train_regressor(rows, target, names, **params)
-        scored = cut(M.score(model, config_dataset(spark, cfg, "test_range")[1]).select("score", target))
+        scored = cut(M.score(model, test).select("score", target))
         ic, staircase = V.rank_ic(scored, "score", target), V.quantile_staircase(scored, "score", target)
     elif model_cfg.get("cv_folds", 1) > 1:
         k = model_cfg["cv_folds"]
@@ -91,4 +100,4 @@ def run_research(spark: SparkSession, cfg: Mapping, out_dir: str) -> Research:
         scored = cut(M.score(model, split.filter("role = 'test'")).select("score", target))
         ic, staircase = V.rank_ic(scored, "score", target), V.quantile_staircase(scored, "score", target)
     M.save_model(model, f"{out_dir}/{model_cfg.get('output_prefix', 'model')}")
-    return Research(rows, meta, yearly, ic, staircase, model)
+    return Research(rows, meta, yearly, ic, staircase, model, test_yearly)

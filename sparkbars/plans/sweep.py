@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -20,14 +20,28 @@ from sparkbars.session import cut
 
 RUN_FIELDS = [f.name for f in fields(Run) if f.name != "run_id"]
 _INT_FIELDS = ("entry_period", "exit_period", "atr_period")
+BARRIER_FIELDS = ("horizon", "tp", "sl")
+# Smallest usable value of a parameter, and whether it must lie above it.
+_LEAST = {
+    **dict.fromkeys([*_INT_FIELDS, "horizon"], (1, "at least")),
+    **dict.fromkeys(["atr_mult", "tp", "cash", "risk_pct", "max_leverage"], (0, "above")),
+    **dict.fromkeys(["intensity_threshold", "commission"], (0, "at least")),
+}
 
-# (bars, grid) -> one row per run
-SweepTarget = Callable[[DataFrame, Mapping[str, object]], DataFrame]
+# (bars, combinations that can run, by number) -> rows with run_id
+SweepTarget = Callable[[DataFrame, Mapping[int, Mapping[str, object]]], DataFrame]
+
+
+def grid_values(value: object) -> list:
+    """The values of one grid entry: text and scalars are one value, anything else that can be iterated is a list."""
+    if isinstance(value, (str, bytes)) or not isinstance(value, Iterable) or getattr(value, "ndim", 1) == 0:
+        return [value]
+    return [v.item() if hasattr(v, "item") else v for v in value]
 
 
 def expand_grid(grid: Mapping[str, object]) -> list[dict]:
     """Every combination of a grid, a scalar counting as one value; an empty grid gives one empty set."""
-    values = [v if isinstance(v, (list, tuple)) else [v] for v in grid.values()]
+    values = [grid_values(v) for v in grid.values()]
     return [dict(zip(grid, combo, strict=True)) for combo in itertools.product(*values)]
 
 
@@ -35,7 +49,7 @@ def grid_rows(spark, grid: Mapping[str, object]) -> DataFrame:
     """The expanded grid as a table with ``run_id``, made by exploding one array per parameter."""
     rows = spark.range(1).select(F.lit(0).cast("long").alias("run_id"))
     for name, v in grid.items():
-        values = v if isinstance(v, (list, tuple)) else [v]
+        values = grid_values(v)
         rows = rows.select(
             "*", F.posexplode(F.array(*[F.lit(x) for x in values])).alias("_i", name)
         ).withColumn("run_id", F.col("run_id") * len(values) + F.col("_i")).drop("_i")
@@ -48,14 +62,32 @@ def coupled(params: Mapping[str, object]) -> dict:
     return {**params, "exit_period": entry // 2, "atr_period": entry}
 
 
-def runs_of(combos: Sequence[Mapping[str, object]]) -> tuple[list[Run], dict[int, str]]:
-    """Runs of the usable combinations, and the error text of the others, by place in the list."""
+def combo_error(combo: Mapping[str, object]) -> str | None:
+    """Why a combination cannot run."""
+    for name, value in combo.items():
+        if value is None or isinstance(value, (str, bytes)) or value != value:
+            return f"{name} must be a number"
+        low, text = _LEAST.get(name, (None, ""))
+        if low is not None and (value <= low if text == "above" else value < low):
+            return f"{name} must be {text} {low:g}"
+    if combo.get("sl", -1) >= 0:
+        return "sl must be below 0"
+    return None
+
+
+def runs_of(combos: Sequence[Mapping[str, object]], more: Sequence[str] = ()) -> tuple[list[Run], dict[int, str]]:
+    """Runs of the usable combinations, and the error text of the others, by place in the list.
+
+    A name that is neither a field of a run nor in ``more`` is an error of the whole grid.
+    """
+    unknown = sorted({k for c in combos for k in c} - {*RUN_FIELDS, *more})
+    if unknown:
+        raise ValueError(f"unknown parameters {unknown}; known: {', '.join([*RUN_FIELDS, *more])}")
     runs, errors = [], {}
     for i, combo in enumerate(combos):
         params = {k: v for k, v in combo.items() if k in RUN_FIELDS}
-        bad = [k for k in _INT_FIELDS if k in params and int(params[k]) < 1]
-        if bad:
-            errors[i] = f"{bad[0]} must be at least 1"
+        if error := combo_error(combo):
+            errors[i] = error
         else:
             runs.append(Run(i, **{k: int(v) if k in _INT_FIELDS else float(v) for k, v in params.items()}))
     return runs, errors
@@ -105,7 +137,7 @@ def backtest(
     candidates = trade_candidates(signals, prepared, fill_model)
     if keep_entry is not None:
         candidates = keep_entry(candidates)
-    trades = cut(select_trades(candidates, initial_capital, commission, sizer))
+    trades = cut(select_trades(candidates, initial_capital, commission, sizer, runs))
     metrics = run_metrics(trades, prepared, runs, initial_capital, commission, periods_per_year)
     return Backtest(prepared, candidates, trades, metrics)
 
@@ -119,7 +151,7 @@ def _with_params(result: DataFrame, combos: Sequence[Mapping], errors: Mapping[i
         F.struct(
             F.lit(i).alias("run_id"),
             F.lit(errors.get(i)).cast("string").alias("error"),
-            *[F.lit(c.get(n)).cast(k).alias(n) for n, k in kinds.items()],
+            *[F.lit(c.get(n)).try_cast(k).alias(n) for n, k in kinds.items()],
         )
         for i, c in enumerate(combos)
     ])
@@ -160,12 +192,37 @@ def sweep_backtest(
     """
     combos = expand_grid(grid)
     runs, errors = runs_of([coupled(c) for c in combos] if couple else combos)
+    if not runs:
+        raise ValueError(f"no combination can run: {sorted(set(errors.values()))}")
     result = finite_profit_factor(display_metrics(backtest(bars, runs, **options).metrics))
     if couple:
         result = result.withColumn("score", F.col("sharpe") - F.col("max_dd_pct") * 0.02)
     return ranked(_with_params(result, combos, errors), rank_by, ascending)
 
 
+def sweep(bars: DataFrame, grid: Mapping[str, object], target: SweepTarget) -> DataFrame:
+    """Rows of any target for every combination; one that the target refuses shows its error text.
+
+    ``target`` gets the combinations by number and returns rows with ``run_id``. If it
+    raises for all of them together, each is tried alone, so that one bad set cannot hide the rest.
+    """
+    combos = dict(enumerate(expand_grid(grid)))
+    errors: dict[int, str] = {}
+    try:
+        result = target(bars, combos)
+    except Exception:  # a target may refuse in any way; its words become the row's error
+        result = None
+        for i, combo in combos.items():
+            try:
+                own = target(bars, {i: combo})
+                result = own if result is None else result.unionByName(own)
+            except Exception as e:
+                errors[i] = str(e) or type(e).__name__
+        if result is None:
+            raise
+    return _with_params(result, list(combos.values()), errors)
+
+
 def run_events(bars: DataFrame, runs: Sequence[Run]) -> DataFrame:
     """Signed breakout events of every run, one row per (run_id, symbol, pos)."""
     sides = [
@@ -191,12 +248,14 @@ def sweep_dataset(bars: DataFrame, grid: Mapping[str, object]) -> DataFrame:
     labels: an event is labelled once per distinct barrier setting.
     """
     combos = [{"horizon": 288, "tp": 0.02, "sl": -0.01, **c} for c in expand_grid(grid)]
-    runs, errors = runs_of(combos)
+    runs, errors = runs_of(combos, BARRIER_FIELDS)
+    if not runs:
+        raise ValueError(f"no combination can run: {sorted(set(errors.values()))}")
     prepared = channel_table(bars, runs)
     settings = F.array(*[
         F.struct(
-            F.lit(i).alias("run_id"), F.lit(int(c["horizon"])).alias("horizon"),
-            F.lit(float(c["tp"])).alias("tp"), F.lit(float(c["sl"])).alias("sl"),
+            F.lit(i).alias("run_id"), F.lit(c["horizon"]).try_cast("int").alias("horizon"),
+            F.lit(c["tp"]).try_cast("double").alias("tp"), F.lit(c["sl"]).try_cast("double").alias("sl"),
         )
         for i, c in enumerate(combos)
     ])

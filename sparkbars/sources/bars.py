@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +40,14 @@ def datetime_of(ms: str | Column) -> Column:
     return F.timestamp_millis(c).cast("timestamp_ntz")
 
 
+def _typed_csv(raw: DataFrame) -> DataFrame:
+    """Columns by the names of the header; text that is no number becomes NULL, ``symbol`` stays if there."""
+    kinds = {f.name: f.dataType for f in KLINE_CSV_SCHEMA.fields}
+    require_columns(raw.columns, ["open_time", "open", "high", "low", "close"], "bar file")
+    found = {c: F.col(c) if c in raw.columns else F.lit(None) for c in kinds}
+    return raw.select(*[c for c in raw.columns if c == "symbol"], *[found[c].try_cast(k).alias(c) for c, k in kinds.items()])
+
+
 def load_bars(spark: SparkSession, source: str, date_range: Sequence[str] | None = None) -> DataFrame:
     """Bars from a ``.parquet`` or ``.csv`` path, optionally cut to ``[start, end)``."""
     if source.endswith(".parquet"):
@@ -48,7 +55,7 @@ def load_bars(spark: SparkSession, source: str, date_range: Sequence[str] | None
         spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
         bars = spark.read.parquet(source)
     elif source.endswith(".csv"):
-        bars = spark.read.schema(KLINE_CSV_SCHEMA).option("header", True).csv(source)
+        bars = _typed_csv(spark.read.option("header", True).csv(source))
     else:
         raise ValueError(f"bar source must end in .parquet or .csv: {source}")
     bars = bars.withColumns({f.name: no_nan(f.name) for f in bars.schema if isinstance(f.dataType, T.DoubleType)})
@@ -96,16 +103,19 @@ def normalize_klines(raw: DataFrame) -> DataFrame:
     return raw.select(*tail, *columns).na.drop(subset=["open_time"])
 
 
-def latest_per_key(rows: DataFrame, keys: Sequence[str], newest: Sequence[Column]) -> DataFrame:
-    """One row per key, the first along ``newest``."""
-    w = W.partitionBy(*keys).orderBy(*newest)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str], first: bool = False) -> DataFrame:
+    """One row per key: the last along ``order``, or the first; reduced before the shuffle."""
+    pick = F.min_by if first else F.max_by
+    best = pick(F.struct(*rows.columns), F.struct(*order)).alias("_row")
+    return rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(best).select("_row.*")
 
 
 def merge_increments(*batches: DataFrame, keys: Sequence[str] = ("symbol", "open_time")) -> DataFrame:
     """Union of batches, oldest first, keeping the row of the newest batch per key, with ``datetime``.
 
-    A batch may carry ``batch_seq`` itself; otherwise its place in the call counts.
+    A batch may carry ``batch_seq`` itself; otherwise its place in the call counts. Inside
+    a batch the highest ``row_seq`` is kept where there is one; rows that are equal in both are
+    told apart by their values, so the result never depends on the order of input.
     """
     stamped = [
         b if "batch_seq" in b.columns else b.withColumn("batch_seq", F.lit(i).cast("long"))
@@ -114,7 +124,9 @@ def merge_increments(*batches: DataFrame, keys: Sequence[str] = ("symbol", "open
     merged = stamped[0].drop("datetime")
     for b in stamped[1:]:
         merged = merged.unionByName(b.drop("datetime"), allowMissingColumns=True)
-    kept = latest_per_key(merged, keys, [F.col("batch_seq").desc()]).drop("batch_seq")
+    rest = [c for c in merged.columns if c not in ("batch_seq", "row_seq")]
+    order = ["batch_seq", *[c for c in ("row_seq",) if c in merged.columns], *rest]
+    kept = latest_per_key(merged, keys, order).drop("batch_seq", "row_seq")
     return kept.withColumn("datetime", datetime_of(keys[-1]))
 
 
@@ -245,5 +257,5 @@ def csv_export_rows(bars: DataFrame, start_ms: int | None = None, end_ms: int |
         bars = bars.filter(F.col("open_time") <= end_ms)
     keys = (["symbol"] if "symbol" in bars.columns else []) + ["open_time"]
     # Full column order makes the surviving duplicate the same one in every run.
-    order = [F.col(c) for c in CSV_COLUMNS if c != "open_time"]
-    return latest_per_key(bars.select(*{*keys, *CSV_COLUMNS}), keys, order).select(*keys[:-1], *CSV_COLUMNS)
+    order = [c for c in CSV_COLUMNS if c != "open_time"]
+    return latest_per_key(bars.select(*{*keys, *CSV_COLUMNS}), keys, order, first=True).select(*keys[:-1], *CSV_COLUMNS)
