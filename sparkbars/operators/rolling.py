@@ -82,15 +82,15 @@ class HaloFrame:
 
     def _doubled(self, rolls: Sequence[Roll]) -> None:
         before = self.df.columns
-        # A spread is carried as (mean, squared distance from it), so nothing cancels and a value
-        # never depends on where a chunk begins.
-        spread = {f"_s_{v}": _moments(F.col(v), F.lit(0.0)) for v in {r.value for r in rolls if r.how == "std"}}
-        if spread:
-            self.df = self.df.withColumns(spread)
+        # A spread is carried as a mean and the squared distance from it, so nothing cancels and a
+        # value never depends on where a chunk begins.
+        single = {f"_m2_{v}": F.when(F.col(v).isNotNull(), F.lit(0.0)) for v in {r.value for r in rolls if r.how == "std"}}
+        if single:
+            self.df = self.df.withColumns(single)
 
         def parts(r: Roll) -> list[tuple[str, str]]:
             if r.how == "std":
-                return [("std", f"_s_{r.value}")]
+                return [("mean", r.value), ("m2", f"_m2_{r.value}")]
             return [("sum" if r.how == "avg" else r.how, r.value)]
 
         longest: dict[tuple[str, str], int] = {}
@@ -109,9 +109,12 @@ class HaloFrame:
                 if 2**level <= period:
                     near = F.col(name(part, level - 1))
                     far = F.lag(near, half).over(ordered)
-                    steps[name(part, level)] = (
-                        _merge_moments(near, half, far, half) if part[0] == "std" else _merge(part[0], near, far)
-                    )
+                    if part[0] == "m2":
+                        mean = F.col(name(("mean", part[1].removeprefix("_m2_")), level - 1))
+                        apart = mean - F.lag(mean, half).over(ordered)
+                        steps[name(part, level)] = near + far + apart * apart * (half / 2)
+                    else:
+                        steps[name(part, level)] = _merge(part[0], near, far)
             self.df = self.df.withColumns(steps)
 
         def window(part: tuple[str, str], r: Roll) -> Column:
@@ -127,21 +130,32 @@ class HaloFrame:
             for level in range(r.period.bit_length()):
                 if r.period >> level & 1:
                     piece = back(level, offset)
-                    if total is None:
-                        total = piece
-                    elif part[0] == "std":
-                        total = _merge_moments(total, offset - r.shift, piece, 2**level)
-                    else:
-                        total = total + piece
+                    total = piece if total is None else total + piece
                     offset += 2**level
             return total
 
+        def spread_over(r: Roll) -> Column:
+            """Standard deviation from the pieces of the window: their own spread and that of their means."""
+            mean, m2 = parts(r)
+            pieces, offset = [], r.shift
+            for level in range(r.period.bit_length()):
+                if r.period >> level & 1:
+                    own = [f"_p{offset}_{name(p, level)}" for p in (mean, m2)]
+                    lags = {o: F.lag(name(p, level), offset).over(ordered) if offset else F.col(name(p, level)) for o, p in zip(own, (mean, m2))}
+                    self.df = self.df.withColumns(lags)
+                    pieces.append((2**level, *map(F.col, own)))
+                    offset += 2**level
+            centre = f"_centre_{r.out}"
+            self.df = self.df.withColumn(centre, sum((m * (n / r.period) for n, m, _ in pieces[1:]), pieces[0][1] * (pieces[0][0] / r.period)))
+            distance = [m2 + (m - F.col(centre)) * (m - F.col(centre)) * n for n, m, m2 in pieces]
+            return F.sqrt(sum(distance[1:], distance[0]) / r.period)
+
         outs = {}
         for r in rolls:
-            values = [window(part, r) for part in parts(r)]
             if r.how == "std":
-                outs[r.out] = F.sqrt(values[0]["m2"] / r.period)
+                outs[r.out] = spread_over(r)
             else:
+                values = [window(part, r) for part in parts(r)]
                 outs[r.out] = values[0] / r.period if r.how == "avg" else values[0]
         self.df = self.df.withColumns(outs).select(*before, *outs)
 
@@ -156,21 +170,10 @@ def halo_frame(bars: DataFrame, lookback: int, chunk_rows: int | None = None) ->
     return HaloFrame(bars, lookback, chunk_rows or max(CHUNK_ROWS, 2 * lookback))
 
 
-def _moments(mean: Column, m2: Column) -> Column:
-    """struct<mean, m2>, NULL where the mean is."""
-    return F.when(mean.isNotNull(), F.struct(mean.cast("double").alias("mean"), m2.alias("m2")))
-
-
-def _merge_moments(a: Column, n: int, b: Column, m: int) -> Column:
-    """Mean and squared distances of two neighbouring windows of ``n`` and ``m`` rows; NULL if either is."""
-    apart = b["mean"] - a["mean"]
-    return _moments(
-        a["mean"] + apart * (m / (n + m)), a["m2"] + b["m2"] + apart * apart * (n * m / (n + m))
-    )
-
-
 def _merge(how: str, a: Column, b: Column) -> Column:
     """Two neighbouring windows as one; NULL if either is."""
     if how == "sum":
         return a + b
+    if how == "mean":
+        return (a + b) / 2
     return F.when(a.isNotNull() & b.isNotNull(), (F.greatest if how == "max" else F.least)(a, b))
