@@ -25,9 +25,8 @@ HEADLINE = [
     "run_metrics",
     "sweep_backtest",
     "sweep_dataset",
-    "fill_ledger",
+    "sweep_accounts",
 ]
-SWEEP_BACKTESTS = 8 * 5  # parameter sets times symbols
 
 
 def timed(run, spark, sf_dir: str) -> float:
@@ -52,7 +51,6 @@ def main() -> None:
         "unit": "sec",
         "queries": seconds,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
-        "sec_per_backtest_in_sweep": round(seconds["sweep_backtest"] / SWEEP_BACKTESTS, 4),
     }))
 
 

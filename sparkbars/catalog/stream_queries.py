@@ -70,7 +70,7 @@ def entries(spark, sf):
         row_number() OVER w AS seq FROM u
       WINDOW w AS (PARTITION BY account ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)),
     f AS (SELECT *, abs(pos) < 0.001 AS is_flat FROM p)
-    SELECT account, seq, ts_us, bal AS balance, CASE WHEN is_flat THEN 0 ELSE pos END AS position, is_flat,
+    SELECT account, seq, ts_us, CAST(0 AS BIGINT) AS n_late, bal AS balance, CASE WHEN is_flat THEN 0 ELSE pos END AS position, is_flat,
       coalesce(last_value(CASE WHEN is_flat THEN 0 ELSE entry_price END IGNORE NULLS) OVER w, 0) AS entry_price,
       coalesce(last_value(CASE WHEN is_flat THEN 0 ELSE stop_price END IGNORE NULLS) OVER w, 0) AS stop_price
     FROM f WINDOW w AS (PARTITION BY account ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)""",

@@ -11,24 +11,30 @@ from sparkbars.streaming.state import use_state_store
 
 _OUT = (
     "account string, seq long, ts_us long, balance double, position double, entry_price double, stop_price double, "
-    "is_flat boolean"
+    "is_flat boolean, n_late long"
 )
-_STATE = "seq long, ts_us long, balance double, position double, entry_price double, stop_price double"
+_STATE = "seq long, n_late long, ts_us long, balance double, position double, entry_price double, stop_price double"
 _FIELDS = ["balance", "position", "entry_price", "stop_price"]
 
 
 class AccountState(StatefulProcessor):
-    """Each update overwrites the fields it carries; a position too small to count clears entry and stop."""
+    """Each update overwrites the fields it carries; a position too small to count clears entry and stop.
+
+    An update older than the last one is not applied; ``n_late`` counts those so far.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("account", _STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        seq, ts, *values = self.state.get() if self.state.exists() else (0, -(2**62), 0.0, 0.0, 0.0, 0.0)
+        seq, late, ts, *values = self.state.get() if self.state.exists() else (0, 0, -(2**62), 0.0, 0.0, 0.0, 0.0)
         known = dict(zip(_FIELDS, values, strict=True))
         updates = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "tie"], kind="stable")
-        updates = updates[updates["ts_us"] >= ts]
+        current = updates["ts_us"] >= ts
+        late += int((~current).sum())
+        updates = updates[current]
         if updates.empty:
+            self.state.update((seq, late, ts, *values))
             return
         # Missing fields keep their last value; row 0 is what was known before.
         before = pd.DataFrame([{**known, "ts_us": ts}])
@@ -41,9 +47,10 @@ class AccountState(StatefulProcessor):
         out, flat = filled.iloc[1:].reset_index(drop=True), flat.iloc[1:].reset_index(drop=True)
         out["seq"] = seq + 1 + out.index.to_numpy()
         out["is_flat"] = flat
+        out["n_late"] = late
         out["account"] = key[0]
         end = out.iloc[-1]
-        self.state.update((int(end["seq"]), int(end["ts_us"]), *[float(end[f]) for f in _FIELDS]))
+        self.state.update((int(end["seq"]), late, int(end["ts_us"]), *[float(end[f]) for f in _FIELDS]))
         yield out[[f.split()[0] for f in _OUT.split(", ")]]
 
     def close(self) -> None:

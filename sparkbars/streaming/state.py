@@ -38,6 +38,9 @@ def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
 
 
 def stream_of(table: DataFrame) -> DataFrame:
-    """A written table (see ``cut``) as a file stream."""
-    path = table.inputFiles()[0].rsplit("/", 1)[0]
+    """A written table (see ``cut``) as a file stream, also one that is partitioned into folders."""
+    folders = table.inputFiles()[0].split("/")[:-1]
+    while "=" in folders[-1]:
+        folders.pop()
+    path = "/".join(folders)
     return table.sparkSession.readStream.schema(table.schema).parquet(path)

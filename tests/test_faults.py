@@ -137,3 +137,24 @@ def test_published_training_names_are_mapped():
     assert got == {"maxIter": 3, "stepSize": 0.1, "featureSubsetStrategy": "0.8", "maxDepth": 2}
     with pytest.raises(ValueError, match="reg_lambda"):
         spark_params({"reg_lambda": 1.0}, GBTRegressor)
+
+
+def test_partitioned_tables_stream_whole(spark):
+    from sparkbars.session import cut
+    from sparkbars.streaming.state import run_available, stream_of
+
+    table = cut(spark.range(20).withColumn("symbol", (F.col("id") % 4).cast("string")), "symbol")
+    assert run_available(stream_of(table)).count() == 20
+
+
+def test_late_updates_are_counted(spark, tmp_path):
+    from sparkbars.streaming.accounts import stream_accounts
+    from sparkbars.streaming.state import run_available
+
+    schema = "account string, ts_us long, tie long, balance double, position double, entry_price double, stop_price double"
+    for i, ts in enumerate(([10, 20], [5, 7], [30])):
+        rows = [("a", t, 0, float(t), None, None, None) for t in ts]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    out = run_available(stream_accounts(stream)).orderBy("seq").collect()
+    assert [(r["balance"], r["n_late"]) for r in out] == [(10.0, 0), (20.0, 0), (30.0, 2)]
