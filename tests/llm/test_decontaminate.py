@@ -26,7 +26,7 @@ def tables(path, seed):
             at = rng.randint(0, max(len(words) - 1, 0))
             parts += [", ".join(words[at : at + rng.randint(1, 20)]).upper(), say(rng.randint(0, 5))]
         texts.append(" - ".join(parts))
-    texts += [texts[20], texts[20], (items[0][1] + " ") * 3000]
+    texts += [texts[20], texts[20], (items[0][1] + " ") * 60]
     folder(path, benchmark=(BENCHMARK, items))
     return documents(path, texts)
 
