@@ -146,7 +146,9 @@ class HaloFrame:
                     pieces.append((2**level, *map(F.col, own)))
                     offset += 2**level
             centre = f"_centre_{r.out}"
-            self.df = self.df.withColumn(centre, sum((m * (n / r.period) for n, m, _ in pieces[1:]), pieces[0][1] * (pieces[0][0] / r.period)))
+            first = pieces[0][1]
+            # Means are averaged by their distance from the first, which leaves a constant series exact.
+            self.df = self.df.withColumn(centre, sum(((m - first) * (n / r.period) for n, m, _ in pieces[1:]), first))
             distance = [m2 + (m - F.col(centre)) * (m - F.col(centre)) * n for n, m, m2 in pieces]
             return F.sqrt(sum(distance[1:], distance[0]) / r.period)
 
