@@ -37,10 +37,15 @@ SCHEMA = ", ".join(f"{c} long" for c in COUNTS) + ", repeats array<struct<start:
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """``min_words``: shortest repeat that counts. The limits are inclusive."""
+    """``min_words``: shortest repeat that counts. The limits are inclusive.
+
+    Published repetition filters let repeats of five words cover 15 % of a text and repeats of ten words
+    10 %. Repeats count here with all their occurrences, the first too, so the milder figure holds for ten
+    words. The base rule allows 50 % in windows of three words, so a limit near it would decide nothing.
+    """
 
     min_words: int = 10
-    max_percent: int = 45
+    max_percent: int = 15
     max_longest: int = 50
 
 

@@ -73,3 +73,20 @@ def test_keep_and_empty_table(spark):
     docs = spark.createDataFrame([(1, good, 1), (2, "short", 2), (3, None, 3), (4, "loop " * 90, 4)], "doc_id long, text string, verdict int")
     assert [tuple(r) for r in quality.keep(docs).collect()] == [(1, good, 1)]
     assert quality.keep(docs.filter("false")).collect() == []
+
+
+def pasted(percent, n=400, passage=20):
+    """``n`` words of which ``percent`` are a pasted passage, scattered among words that occur once."""
+    copies = n * percent // 100 // passage
+    boilerplate = [f"b{i}" for i in range(passage)]
+    own = [f"own{i}" for i in range(n - copies * passage)]
+    step = len(own) // max(copies, 1)
+    return " ".join(sum((own[k * step : (k + 1) * step] + boilerplate for k in range(copies)), []) + own[copies * step :])
+
+
+def test_pasted_passages_below_the_base_rule_are_dropped(spark, tmp_path):
+    texts = [pasted(p) for p in (0, 10, 15, 20, 25, 30, 35, 40)]
+    rows = {r["doc_id"]: r for r in op9_quality_rules(spark, documents(tmp_path, texts)).collect()}
+    assert [rows[i]["covered_words"] for i in range(8)] == [0, 40, 60, 80, 100, 120, 140, 160]
+    assert not any(rows[i]["base_failed"] for i in range(8))
+    assert [rows[i]["kept"] for i in range(8)] == [True] * 3 + [False] * 5
