@@ -78,7 +78,7 @@ def parsed(messages: DataFrame) -> DataFrame:
         _blocks(F.col("lines")),
         lambda b: F.transform(
             _passages(b["content"]),
-            lambda p: F.struct(b["level"].alias("level"), F.xxhash64(p).alias("h1"), F.xxhash64(p, F.lit(1)).alias("h2")),
+            lambda p: F.struct(b["level"].alias("level"), F.xxhash64(p).alias("h1"), F.xxhash64(F.lit(1), p).alias("h2")),
         ),
     ))
     return lines.select(

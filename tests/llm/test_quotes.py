@@ -1,9 +1,12 @@
 """Quotation linking against its SQL twin and by hand."""
 
 import random
+import struct
+
+import xxhash
 
 from sparkbars.llm.queries import ORACLES, op7_quotation_links
-from sparkbars.llm.quotes import reply_ordered
+from sparkbars.llm.quotes import parsed, reply_ordered
 from tests.llm.helpers import CONVERSATIONS, folder, result, twin
 
 NAME = "op7_quotation_links"
@@ -55,3 +58,12 @@ def test_empty_table(spark, tmp_path):
 def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, 0, "user", "hello", "x", 5)], "conv_id long, turn long, role string, text string, passages string, depth int")
     assert reply_ordered(df).count() == 1
+
+
+def test_second_hash_of_a_passage_reads_the_passage_itself(spark):
+    text, one = "a sentence with words", struct.pack("<i", 1)
+    row = parsed(spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")).first()["passages"][0]
+    h1, h2 = (row[h] % (1 << 64) for h in ("h1", "h2"))
+    assert h1 == xxhash.xxh64_intdigest(text, 42)
+    # seeded by the first hash, the second would collide whenever the first does
+    assert h2 != xxhash.xxh64_intdigest(one, h1) and h2 == xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(one, 42))
