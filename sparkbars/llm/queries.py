@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import bpe, decontaminate, langid, quality, quotes, sharding, simhash, token_counts, token_files, toxicity
+from sparkbars.llm import bpe, decontaminate, langid, merkle, quality, quotes, repair, sharding, simhash, token_counts, token_files, toxicity
 from sparkbars.llm.columns import bounded_batches, fold
 from sparkbars.session import cut, scratch_root
 
@@ -192,3 +192,122 @@ LEFT JOIN deep d ON d.conv_id = raw.conv_id AND d.turn = raw.turn
 """)
 def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: list_transform(range(0, 8), lambda k: (ord({text}[i]) >> k) & 1)))"
+    step = "xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, b: {step}), 4294967295)"
+
+
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf(n_chars: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _tree(name: str, nodes: str) -> str:
+    return f"""
+{name} AS (
+  SELECT key, 0 AS level, place, hash, n FROM {nodes}
+  UNION ALL SELECT key, level + 1, place // 2, sha256(string_agg(hash, '' ORDER BY place)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY key, level, place // 2, n),
+{name}_sizes AS (SELECT DISTINCT key, level, n FROM {name}),
+{name}_proofs AS (
+  SELECT a.key, a.place, string_agg(s.hash, '' ORDER BY s.level) AS proof
+  FROM {nodes} a JOIN {name} s ON s.key = a.key AND s.place = xor(a.place >> s.level, 1) AND s.n > 1 GROUP BY ALL),
+{name}_folds AS (
+  SELECT key, place, 0 AS level, start AS hash FROM {nodes}_starts
+  UNION ALL
+  SELECT f.key, f.place, f.level + 1, sha256(CASE WHEN s.hash IS NULL THEN f.hash WHEN (f.place >> f.level) & 1 = 1 THEN s.hash || f.hash ELSE f.hash || s.hash END)
+  FROM {name}_folds f JOIN {name}_sizes z ON z.key = f.key AND z.level = f.level AND z.n > 1
+  LEFT JOIN {name} s ON s.key = f.key AND s.level = f.level AND s.place = xor(f.place >> f.level, 1))"""
+
+
+@register("op12_merkle_manifest", f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS key, {_leaf("n_chars")} AS hash,
+         CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, hash) - 1 AS place, count(*) OVER (PARTITION BY key) AS n FROM leaves),
+placed_starts AS (SELECT key, place, coalesce(changed, hash) AS start FROM placed),
+{_tree("lower", "placed").strip()},
+subroots AS (SELECT key AS lang_key, '' AS key, hash, row_number() OVER (ORDER BY key) - 1 AS place, count(*) OVER () AS n FROM lower WHERE n = 1),
+folded AS (SELECT f.key, f.place, f.hash FROM lower_folds f JOIN lower_sizes z ON z.key = f.key AND z.level = f.level AND z.n = 1),
+subroots_starts AS (SELECT '' AS key, place, hash AS start FROM subroots),
+{_tree("upper", "subroots").strip()},
+beyond AS (
+  SELECT f.key, f.place, s.place AS top_place, 0 AS level, f.hash FROM folded f JOIN subroots s ON s.lang_key = f.key
+  UNION ALL
+  SELECT f.key, f.place, f.top_place, f.level + 1, sha256(CASE WHEN s.hash IS NULL THEN f.hash WHEN (f.top_place >> f.level) & 1 = 1 THEN s.hash || f.hash ELSE f.hash || s.hash END)
+  FROM beyond f JOIN upper_sizes z ON z.level = f.level AND z.n > 1
+  LEFT JOIN upper s ON s.level = f.level AND s.place = xor(f.top_place >> f.level, 1))
+SELECT p.doc_id, p.hash AS leaf, s.hash AS subroot, r.hash AS root, sha256(coalesce(lp.proof, '') || coalesce(up.proof, '')) AS proof_sha256,
+       b.hash AS folded_root, b.hash = r.hash AS verified
+FROM placed p JOIN subroots s ON s.lang_key = p.key JOIN upper r ON r.n = 1 JOIN beyond b ON b.key = p.key AND b.place = p.place
+JOIN upper_sizes z ON z.level = b.level AND z.n = 1
+LEFT JOIN lower_proofs lp ON lp.key = p.key AND lp.place = p.place LEFT JOIN upper_proofs up ON up.place = s.place
+""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    longer = F.col("n_chars").cast("decimal(20,0)") + 1
+    rows = docs.select(
+        "doc_id", "lang", merkle.leaf([F.col(c) for c in LEAF_COLUMNS]).alias("leaf"),
+        F.when(tampered, merkle.leaf([longer if c == "n_chars" else F.col(c) for c in LEAF_COLUMNS])).alias("changed"),
+    )
+    checked = merkle.manifest(rows).withColumn("verified", F.col("folded_root") == F.col("root"))
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_SPACES = r"\x20\x09-\x0D"
+
+
+@register("op11_conversation_repair", f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+marked AS (SELECT *, {_crc32("name")} % 20 AS fault FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM marked, range(0, CASE WHEN fault = 3 THEN 2 ELSE 1 END) WHERE fault <> 0),
+numbered AS (SELECT coalesce('=' || CAST(conv_id AS VARCHAR), '') AS key, turn, role, text,
+                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY key, role, text ORDER BY pos) AS nth, lag(role[1]) OVER (PARTITION BY key ORDER BY pos) || role[1] AS pair,
+                regexp_extract(text, '([^{_SPACES}])[{_SPACES}]*$', 1) AS final FROM numbered),
+faulty AS (SELECT key, turn, role, text, pos, pair,
+                  CASE WHEN NOT regexp_matches(text, '[^{_SPACES}]') THEN 'B' WHEN nth > 1 THEN 'D' WHEN final NOT IN ('.', '!', '?') THEN 'T' ELSE '' END AS fault FROM seen),
+counts AS (
+  SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'B') AS blank,
+         count(*) FILTER (fault = 'D') AS duplicate, count(*) FILTER (fault = 'T') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM faulty GROUP BY key),
+moves(place, initial, edit, cost, goal, said) AS (VALUES
+  (0, 's', 'K', 0, 1, NULL), (0, 'u', 'K', 0, 2, NULL), (1, 'u', 'K', 0, 2, NULL), (2, 'a', 'K', 0, 3, NULL), (3, 'u', 'K', 0, 2, NULL),
+  (0, NULL, 'R', 1, 2, 'user'), (1, NULL, 'R', 1, 2, 'user'), (2, NULL, 'R', 1, 3, 'assistant'), (3, NULL, 'R', 1, 2, 'user'),
+  (0, NULL, 'D', 2, 0, NULL), (1, NULL, 'D', 2, 1, NULL), (2, NULL, 'D', 2, 2, NULL), (3, NULL, 'D', 2, 3, NULL)),
+-- inserted rows before an edit or the end: how many, from where to where
+inserts(place, mid, many, said) AS (VALUES
+  (0, 0, 0, []), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []), (0, 2, 1, ['user:']), (1, 2, 1, ['user:']), (2, 3, 1, ['assistant:']), (3, 2, 1, ['user:']),
+  (0, 3, 2, ['user:', 'assistant:']), (1, 3, 2, ['user:', 'assistant:'])),
+walk AS (
+  SELECT key, CAST(1 AS BIGINT) AS pos, 0 AS place, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM counts
+  UNION ALL
+  SELECT key, pos + 1, place, (min(way)).cost, (min(way)).audit, (min(way)).said FROM (
+    SELECT w.key, w.pos, m.goal AS place, {{'cost': w.cost + 5 * i.many + m.cost + CASE WHEN f.fault = 'T' AND m.edit <> 'D' THEN 5 ELSE 0 END,
+           'audit': w.audit || repeat('I', i.many) || m.edit,
+           'said': w.said || i.said || CASE m.edit WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [m.said || ':' || f.text] END}} AS way
+    FROM walk w JOIN faulty f ON f.key = w.key AND f.pos = w.pos JOIN inserts i ON i.place = w.place
+    JOIN moves m ON m.place = i.mid AND (m.initial IS NULL OR m.initial = f.role[1]) AND (m.edit = 'D' OR f.fault NOT IN ('B', 'D')))
+  GROUP BY key, pos, place),
+ended AS (
+  SELECT w.key, min({{'cost': w.cost + 5 * i.many, 'audit': w.audit || repeat('I', i.many), 'said': w.said || i.said}}) AS way
+  FROM walk w JOIN counts c ON c.key = w.key AND w.pos = c.n + 1 JOIN inserts i ON i.place = w.place AND i.mid IN (0, 3) GROUP BY w.key),
+asked AS (SELECT DISTINCT conv_id, coalesce('=' || CAST(conv_id AS VARCHAR), '') AS key FROM conversations)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(array_to_string(way.said, chr(10)), '')) AS repaired_sha256
+FROM asked LEFT JOIN counts USING (key) LEFT JOIN ended USING (key)
+""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
