@@ -229,7 +229,7 @@ def _tree(name: str, nodes: str) -> str:
 @register("op12_merkle_manifest", f"""
 WITH RECURSIVE leaves AS (
   SELECT doc_id, coalesce('=' || lang, '') AS key, {_leaf("n_chars")} AS hash,
-         CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("(CAST(n_chars AS HUGEINT) + 1)")} END AS changed FROM documents),
+         CASE WHEN doc_id IS NOT NULL AND {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("(CAST(n_chars AS HUGEINT) + 1)")} END AS changed FROM documents),
 placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, hash) - 1 AS place, count(*) OVER (PARTITION BY key) AS n FROM leaves),
 placed_starts AS (SELECT key, place, coalesce(changed, hash) AS start FROM placed),
 {_tree("lower", "placed").strip()},
