@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.llm import bpe, decontaminate, langid, merkle, quality, quotes, repair, sharding, simhash, token_counts, token_files, toxicity
+from sparkbars.llm import bpe, decontaminate, embeddings, langid, merkle, quality, quotes, repair, sharding, simhash, token_counts, token_files, toxicity
 from sparkbars.llm.columns import bounded_batches, fold
 from sparkbars.session import cut, scratch_root
 
@@ -311,3 +311,18 @@ FROM asked LEFT JOIN counts USING (key) LEFT JOIN ended USING (key)
 """)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@register("op13_embedding_neighbours", """
+WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM vectors WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reached AS (SELECT vec_id AS u, vec_id AS v FROM vectors UNION SELECT r.u, l.v FROM reached r JOIN links l ON l.u = r.v),
+roots AS (SELECT u, min(v) AS component_id FROM reached GROUP BY u),
+counts AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN roots r ON r.u = vec_id LEFT JOIN counts c ON c.u = vec_id
+""")
+def op13_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
