@@ -196,8 +196,8 @@ def manifest(rows: DataFrame, doc_id: str = "doc_id", group: str = "lang") -> Da
     grouped = trees(nodes)
     # one row per group, above which the same tree goes on
     subroots = places(cut(grouped.filter("place = 0").select("key", F.col("root").alias("hash"))), [], ["key"], "place")
-    top = trees(subroots.select(F.lit(0).alias("key"), "place", "hash", F.lit(None).cast("string").alias("changed"),
-                                F.struct(F.col("key").alias("group")).alias("payload")))
+    top = trees(cut(subroots.select(F.lit(0).alias("key"), "place", "hash", F.lit(None).cast("string").alias("changed"),
+                                    F.struct(F.col("key").alias("group")).alias("payload"))))
     top = cut(top.select(F.col("payload.group").alias("its_group"), F.concat("siblings", "upper").alias("beyond"), F.col("root").alias("whole_root")))
     joined = grouped.join(top, F.col("key").eqNullSafe(F.col("its_group")))
     high = F.concat("upper", "beyond")
