@@ -1,7 +1,9 @@
 """Trades of a breakout rule: candidates with their exits, then one position at a time.
 
-Exits of all candidates are found in parallel. Only the choice of trades and the
-compounding capital run in order, over the sparse candidates of a run and symbol.
+Exits of all candidates are found in parallel, and so are the trades: each candidate has one successor,
+the first entry after its exit, and the trades are the path through these. Only the compounding capital is read in
+order, over the trades that are made. An account that cannot afford an entry lets it pass, which changes
+the path; such a run is read candidate by candidate from there on.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from sparkbars.operators.firsttouch import first_touch
 from sparkbars.operators.fold import ordered_fold
 from sparkbars.operators.labels import last_positions
 from sparkbars.operators.running import Running, running
+from sparkbars.operators.walk import path
+from sparkbars.session import cut
 
 SIGNAL_CHUNK = 65_536
 
@@ -155,6 +159,31 @@ _TRADE_SCHEMA = (
     "exit_pos long, exit_price double, exit_reason string, size double, pnl double, "
     "capital_before double, capital_after double, skipped_before long, status string"
 )
+_KEYS = ["run_id", "symbol"]
+
+
+def successors(candidates: DataFrame) -> DataFrame:
+    """Adds ``index``, the number of a candidate in its run and symbol, and ``next``, that of the first one after its exit.
+
+    Candidates and exits are counted along the bars in one pass; at one bar the candidate comes first, as an exit bar is no
+    entry. ``next`` is NULL without an exit.
+    """
+    row = F.struct(*[F.col(c) for c in candidates.columns if c not in _KEYS])
+    # even places are candidates, odd ones the exits behind them
+    both = candidates.select(*_KEYS, F.explode(F.array(
+        F.struct((F.col("pos") * 2).alias("at"), F.lit(1).alias("n"), row.alias("row")),
+        F.struct((F.col("exit_pos") * 2 + 1).alias("at"), F.lit(0).alias("n"), row.alias("row")),
+    )).alias("e")).select(*_KEYS, "e.*").filter("at IS NOT NULL")
+    chunked = both.withColumn("_chunk", F.expr(f"at div {2 * SIGNAL_CHUNK}"))
+    # candidates of one exit bar share its place, but only entries count
+    counted = running(chunked, _KEYS, "_chunk", "at", [Running("seen", "sum", F.col("n"))])
+    entry = F.col("n") == 1
+    found = counted.groupBy(*_KEYS, F.col("row.pos").alias("pos")).agg(
+        F.max(F.when(entry, F.col("seen") - 1)).cast("long").alias("index"),
+        F.max(F.when(~entry, F.col("seen"))).cast("long").alias("next"),
+        F.first(F.when(entry, F.col("row")), ignorenulls=True).alias("row"),
+    )
+    return found.select(*_KEYS, "row.*", "index", "next")
 
 
 def select_trades(
@@ -163,6 +192,7 @@ def select_trades(
     commission: float = 0.0005,
     sizer: ScalarSizer | None = None,
     runs: Sequence[Run] = (),
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Candidates actually tried: one position at a time, capital compounding trade by trade.
 
@@ -183,43 +213,69 @@ def select_trades(
         )
         for r in runs
     }
+    names = [f.split()[0] for f in _TRADE_SCHEMA.split(", ")]
 
-    def step(rows: pd.DataFrame, state):
-        # state: position from which an entry is possible, capital, entries skipped so far
-        cash, rate, size_of = accounts.get(int(rows["run_id"].iat[0]), (initial_capital, commission, general))
-        free_from, capital, skipped = state or (-1, cash, 0)
-        pos = rows["pos"].to_numpy()
-        exits = rows["exit_pos"].to_numpy(dtype="float64")
-        cols = {c: rows[c].to_numpy() for c in ("side", "entry_price", "stop_price", "exit_price", "atr", "atr_mult")}
-        taken = []
-        i = int(np.searchsorted(pos, free_from, side="left"))
-        while i < len(pos):
-            entry, exit_price = float(cols["entry_price"][i]), float(cols["exit_price"][i])
-            stop, atr = (None if np.isnan(v) else float(v) for v in (cols["stop_price"][i], cols["atr"][i]))
-            size = size_of(capital, entry, stop, atr, float(cols["atr_mult"][i]))
-            if size <= 0:
-                taken.append((i, 0.0, None, capital, capital, skipped, "skipped"))
-                skipped += 1
-                i += 1
-                continue
-            if np.isnan(exits[i]):
-                taken.append((i, size, None, capital, capital, skipped, "open"))
-                free_from = np.iinfo(np.int64).max
-                break
-            fees = rate * (entry + exit_price) * size
-            pnl = int(cols["side"][i]) * (exit_price - entry) * size - fees
-            taken.append((i, size, pnl, capital, capital + pnl, skipped, "closed"))
-            capital += pnl
-            free_from = int(exits[i]) + 1
-            i = int(np.searchsorted(pos, free_from, side="left"))
-        out = rows.iloc[[t[0] for t in taken]].rename(columns={"pos": "entry_pos"}).drop(columns=["atr", "atr_mult"])
+    def account(rows: pd.DataFrame):
+        return accounts.get(int(rows["run_id"].iat[0]), (initial_capital, commission, general))
+
+    def tried(rows: pd.DataFrame, i: int, size_of: ScalarSizer, rate: float, capital: float) -> tuple:
+        """(size, pnl, status) of one candidate."""
+        cell = lambda c: float(rows[c].iat[i])
+        stop, atr = (None if np.isnan(v) else v for v in (cell("stop_price"), cell("atr")))
+        size = size_of(capital, cell("entry_price"), stop, atr, cell("atr_mult"))
+        if size <= 0:
+            return 0.0, None, "skipped"
+        if pd.isna(rows["exit_pos"].iat[i]):
+            return size, None, "open"
+        fees = rate * (cell("entry_price") + cell("exit_price")) * size
+        return size, int(rows["side"].iat[i]) * (cell("exit_price") - cell("entry_price")) * size - fees, "closed"
+
+    def shown(rows: pd.DataFrame, taken: list[tuple]) -> pd.DataFrame:
+        out = rows.iloc[[t[0] for t in taken]].rename(columns={"pos": "entry_pos"})
         extra = ["size", "pnl", "capital_before", "capital_after", "skipped_before", "status"]
         out = out.assign(**{c: [t[j + 1] for t in taken] for j, c in enumerate(extra)})
         out["exit_pos"] = out["exit_pos"].astype("Int64")
         out["pnl"] = out["pnl"].astype("float64")
-        return out[[f.split()[0] for f in _TRADE_SCHEMA.split(", ")]], (free_from, capital, skipped)
+        return out
+
+    def on_path(rows: pd.DataFrame, state):
+        """Trades of the path; the first refused one ends it. State: capital, or None once that happened."""
+        cash, rate, size_of = account(rows)
+        (capital,) = state or (cash,)
+        taken = []
+        for i in range(len(rows)):
+            if capital is None:
+                break
+            size, pnl, status = tried(rows, i, size_of, rate, capital)
+            taken.append((i, size, pnl, capital, capital + (pnl or 0.0), 0, status))
+            capital = None if status == "skipped" else capital + (pnl or 0.0)
+        return shown(rows, taken)[[*names, "index"]], (capital,)
+
+    def one_by_one(rows: pd.DataFrame, state):
+        """Every candidate from the first refused one on. State: index that is free again, capital, entries skipped."""
+        _, rate, size_of = account(rows)
+        free, capital, skipped = state or (int(rows["index"].iat[0]), float(rows["_capital"].iat[0]), 0)
+        index, after = rows["index"].to_numpy(), rows["next"].to_numpy(dtype="float64")
+        taken, i = [], int(np.searchsorted(index, free))
+        while i < len(rows):
+            size, pnl, status = tried(rows, i, size_of, rate, capital)
+            taken.append((i, size, pnl, capital, capital + (pnl or 0.0), skipped, status))
+            skipped += status == "skipped"
+            capital += pnl or 0.0
+            free = int(index[i]) + 1 if status == "skipped" else np.iinfo(np.int64).max if status == "open" else int(after[i])
+            i = int(np.searchsorted(index, free))
+        return shown(rows, taken)[names], (free, capital, skipped)
 
-    return ordered_fold(candidates, ["run_id", "symbol"], ["pos"], step, _TRADE_SCHEMA)
+    nodes = cut(successors(candidates))
+    made = path(nodes.select(*_KEYS, "index", "next"), _KEYS, block_rows)
+    chosen = nodes.join(made, [*_KEYS, "index"])
+    first = cut(ordered_fold(chosen, _KEYS, ["index"], on_path, f"{_TRADE_SCHEMA}, index long"))
+    refused = first.filter("status = 'skipped'").select(*_KEYS, F.col("index").alias("_from"), F.col("capital_before").alias("_capital"))
+    trades = first.filter("status <> 'skipped'").drop("index")
+    if refused.isEmpty():
+        return trades
+    again = nodes.join(refused, _KEYS).filter("index >= _from").drop("_from")
+    return trades.unionByName(ordered_fold(again, _KEYS, ["index"], one_by_one, _TRADE_SCHEMA))
 
 
 def trade_log(trades: DataFrame, bars: DataFrame, initial_capital: float = 10_000.0) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkbars.operators.firsttouch import first_touch
 from sparkbars.operators.labels import label_fixed_horizon, label_triple_barrier
@@ -78,7 +79,7 @@ def test_first_touch_equals_scan(spark):
     probes = pd.DataFrame(rows)
     # Several ranges share a start and levels but not an end.
     probes = pd.concat([probes, probes.assign(id=probes.id + 1000, z=probes.z - 40)])
-    for sizes in (dict(near_bars=1000, near_block=64), dict(near_bars=20, near_block=8, far_block=16)):
+    for sizes in (dict(), dict(fan_bits=3), dict(fan_bits=1), dict(fan_bits=2, longest=400)):
         got = first_touch(frame(spark, probes), frame(spark, pdf), "a", "z", "up", "down", **sizes).toPandas()
         assert len(got) == len(probes)
         for r in got.itertuples():
@@ -91,6 +92,16 @@ def test_first_touch_equals_scan(spark):
                 assert (r.touch_pos, r.touch_up, r.touch_down) == (h.pos, h.high >= r.up, h.low <= r.down)
 
 
+def test_far_touch_opens_a_bounded_number_of_rows(spark):
+    """A touch after 200,000 bars and none at all: the exploded rows are bounded by the levels, not by the range."""
+    n = 200_000
+    bars = spark.range(n).select(F.lit("X").alias("symbol"), F.col("id").alias("pos"), F.when(F.col("id") == n - 7, 200.0).otherwise(101.0).alias("high"), F.lit(99.0).alias("low"))
+    ask = [(i, "X", i, n - 1, 150.0, None) for i in range(0, 60)] + [(100, "X", 5, n - 8, 150.0, None), (101, "X", 9, n - 1, None, 1.0)]
+    probes = spark.createDataFrame(ask, "id int, symbol string, a long, z long, up double, down double")
+    got = {r["id"]: (r["touch_pos"], r["touch_up"], r["touch_down"]) for r in first_touch(probes, bars, "a", "z", "up", "down").collect()}
+    assert got == {i: (n - 7, True, False) if i < 60 else (None, None, None) for i in [*range(60), 100, 101]}
+
+
 def test_fixed_horizon(spark):
     pdf = walk(31, 50).assign(atr_daily=0.01)
     pdf.loc[pdf.pos == 10, "atr_daily"] = np.nan

@@ -8,7 +8,7 @@ import pytest
 
 from sparkbars.functions.sizing import scalar_vol_target_size
 from sparkbars.operators.equity import drawdown, equity_curve
-from sparkbars.operators.trades import Run, run_signals, select_trades, trade_candidates
+from sparkbars.operators.trades import Run, run_signals, select_trades, successors, trade_candidates
 from sparkbars.plans.sweep import backtest, channel_table, runs_of, sweep_backtest
 from tests.data import frame, walk
 
@@ -157,3 +157,20 @@ def test_sweep_reports_errors_and_ranks(spark):
     ranked = [r["sharpe"] for r in rows if r["error"] is None]
     assert ranked == sorted(ranked, reverse=True) and len(ranked) == 2
     assert runs_of([{"entry_period": 3}])[0] == [Run(0, 3)]
+
+
+def test_trades_do_not_depend_on_blocks(spark):
+    prepared = channel_table(frame(spark, BARS), RUNS)
+    candidates = trade_candidates(run_signals(prepared, RUNS), prepared)
+    for cash in (10_000.0, 0.14):
+        whole, parts = (select_trades(candidates, cash, block_rows=rows).toPandas().sort_values(["run_id", "symbol", "entry_pos"], ignore_index=True)
+                        for rows in (None, 3))
+        pd.testing.assert_frame_equal(whole, parts)
+        assert len(whole) > 30
+
+
+def test_successor_is_the_first_candidate_behind_the_exit(spark):
+    rows = [("A", 0, 5.0), ("A", 3, 5.0), ("A", 5, 9.0), ("A", 6, None), ("A", 9, 70.0), ("B", 2, 2.0), ("B", 4, None)]
+    table = spark.createDataFrame([(1, s, p, None if x is None else int(x)) for s, p, x in rows], "run_id int, symbol string, pos long, exit_pos long")
+    got = {(r["symbol"], r["pos"]): (r["index"], r["next"]) for r in successors(table).collect()}
+    assert got == {("A", 0): (0, 3), ("A", 3): (1, 3), ("A", 5): (2, 5), ("A", 6): (3, None), ("A", 9): (4, 5), ("B", 2): (0, 1), ("B", 4): (1, None)}
