@@ -10,8 +10,8 @@ from sparkbars.llm.bpe import read_ranks
 from sparkbars.llm.quality import RepetitionRules
 from sparkbars.session import cut
 from tests.llm.helpers import BENCHMARK, DOCUMENTS, documents, folder
+from tests.llm.test_nearcopies import plain_kept
 from tests.llm.test_quality import plain as plain_quality
-from tests.llm.test_simhash import plain_print, plain_roots
 
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
                             mergeable_ranks=read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
@@ -34,8 +34,8 @@ def corpus(rng):
 
 def plain_pipeline(texts, items):
     rows = [(i, t) for i, t in enumerate(texts) if t and any(c.isalpha() for c in t) and plain_quality(t, RepetitionRules())["kept"]]
-    roots = plain_roots([plain_print(t) for _, t in rows])
-    rows = [row for k, row in enumerate(rows) if roots[k] == k]
+    kept = plain_kept([t for _, t in rows])
+    rows = [rows[k] for k in kept]
     windows = {tuple(w[k : k + 10]) for w in (x.split() for _, x in items) for k in range(len(w) - 9)}
     clean = lambda t: not any(tuple(w[k : k + 10]) in windows for w in [t.lower().split()] for k in range(len(w)))
     return [(i, LIBRARY.encode_ordinary(t)) for i, t in rows if clean(t)]
