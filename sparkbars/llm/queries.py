@@ -169,15 +169,23 @@ own AS (SELECT id, regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY
                count(*) FILTER (level > 0) AS quoted_lines, max(level) AS quote_depth FROM lines GROUP BY id),
 breaks AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM lines),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS block FROM breaks),
-blocks AS (SELECT id, conv_id, turn, level, string_agg(content, ' ' ORDER BY pos) AS content FROM numbered GROUP BY id, conv_id, turn, level, block),
-passages AS (
-  SELECT DISTINCT conv_id, turn, level, p FROM (
-    SELECT conv_id, turn, level, trim(regexp_replace(lower(unnest(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))),
-           '[^\p{L}\p{N}]+', ' ', 'g')) AS p FROM blocks WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
-  WHERE length(p) >= 12),
+blocks AS (SELECT id, block, conv_id, turn, level, string_agg(content, ' ' ORDER BY pos) AS content FROM numbered
+           WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY id, block, conv_id, turn, level),
+said AS (SELECT id, block, conv_id, turn, level,
+                trim(regexp_replace(lower(unnest(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))), '[^\p{L}\p{N}]+', ' ', 'g')) AS p
+         FROM blocks),
+passages AS (SELECT DISTINCT conv_id, turn, level, p FROM said WHERE length(p) >= 12),
+brief AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')) AS p FROM blocks b
+          WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.id = b.id AND s.block = b.block AND length(s.p) >= 12)),
+brief_own AS (SELECT DISTINCT conv_id, turn, p FROM
+              (SELECT conv_id, turn, p FROM brief WHERE level = 0 UNION ALL SELECT conv_id, turn, p FROM said WHERE level = 0 AND length(p) < 12) WHERE p <> ''),
 firsts AS (SELECT conv_id, p, min(turn) AS original FROM passages WHERE level = 0 GROUP BY ALL),
-linked AS (SELECT conv_id, turn, max(original) FILTER (level = 1) AS quoted_turn, count(DISTINCT original) AS n_links
-           FROM passages JOIN firsts USING (conv_id, p) WHERE level > 0 AND original < turn GROUP BY ALL),
+found AS (
+  SELECT conv_id, turn, level, original FROM passages JOIN firsts USING (conv_id, p) WHERE level > 0 AND original < turn
+  UNION ALL
+  SELECT q.conv_id, q.turn, q.level, max(o.turn) FROM brief q JOIN brief_own o ON o.conv_id = q.conv_id AND o.p = q.p AND o.turn < q.turn
+  WHERE q.level > 0 GROUP BY q.conv_id, q.turn, q.level, q.p),
+linked AS (SELECT conv_id, turn, max(original) FILTER (level = 1) AS quoted_turn, count(DISTINCT original) AS n_links FROM found GROUP BY ALL),
 turns AS (SELECT conv_id, turn, row_number() OVER w - 1 AS reply_order, lag(turn) OVER w AS previous
           FROM (SELECT DISTINCT conv_id, turn FROM raw WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 parents AS (SELECT conv_id, turn, reply_order, coalesce(quoted_turn, previous) AS parent_turn, coalesce(n_links, 0) AS n_links

@@ -2,21 +2,23 @@
 
 A line that begins with ``>`` marks is quoted, its level is the number of marks. Neighbouring
 lines of one level are a block; the sentences of a block, in lower case and with everything but
-letters and digits as blanks, are its passages. A quoted passage belongs to the first
-message of the conversation whose own text (level 0) holds it, if that came earlier; passages meet by
-128 hash bits. A message replies to the latest message that its level-1 passages belong to;
-if there is none, to the message before it. Depth counts the replies back to the first
-message: runs of unquoting messages need no steps, chains of quoting ones are followed by
+letters and digits as blanks, are its passages. A quoted passage of ``MIN_CHARS`` characters or more belongs to the first
+message of the conversation whose own text (level 0) holds it, if that came earlier. A quoted block without such a
+passage is brief (``> Is it safe?``) and may have been said often: it belongs, as a whole, to the latest earlier message
+in which it is a whole sentence or block of the own text. Passages meet by 128 hash bits. A message replies to the
+latest message that its level-1 passages belong to; if there is none, to the message before it. Depth counts the
+replies back to the first message: runs of unquoting messages need no steps, chains of quoting ones are followed by
 pointer doubling.
 
 Everything is DataFrame functions. Originals are reduced to one row per passage before they
-are joined, positions are running values in two levels, so neither a long conversation nor a common
+are joined, positions and latest places are running values in two levels, so neither a long conversation nor a common
 passage has to fit into one task.
 
 Defined results: a NULL text is an empty one; rows with equal conversation and turn share
 their place and parent, and a passage of any of them is that turn's; rows without a
-conversation or a turn have no parent and depth and order NULL; passages shorter than
-``MIN_CHARS`` link nothing; the control characters U+0001 and U+0002 are dropped.
+conversation or a turn have no parent and depth and order NULL; a passage without letters and digits
+links nothing; the control characters U+0001 and U+0002 are dropped; very long texts are read whole; an empty
+table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -63,30 +65,42 @@ def _blocks(lines: Column) -> Column:
     )
 
 
-def _passages(block: Column) -> Column:
-    sentences = F.split(F.regexp_replace(block, r"([.!?])\s+", "$1" + BLOCK), BLOCK)
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
-    return F.filter(normal, lambda s: F.length(s) >= MIN_CHARS)
+def _normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def _passages(blocks: Column) -> Column:
+    """array<struct<level, brief, h1, h2>> of all blocks: long passages, brief blocks, and brief sentences of the own text."""
+    split = F.transform(blocks, lambda b: F.struct(
+        b["level"].alias("level"),
+        F.transform(F.split(F.regexp_replace(b["content"], r"([.!?])\s+", "$1" + BLOCK), BLOCK), _normal).alias("sentences"),
+        _normal(b["content"]).alias("whole"),
+    ))
+
+    def found(b: Column) -> Column:
+        def hashed(texts: Column, brief: bool) -> Column:
+            return F.transform(texts, lambda p: F.struct(
+                b["level"].alias("level"), F.lit(brief).alias("brief"), F.xxhash64(p).alias("h1"), F.xxhash64(F.lit(1), p).alias("h2")))
+
+        long = F.filter(b["sentences"], lambda p: F.length(p) >= MIN_CHARS)
+        short = F.filter(b["sentences"], lambda p: (b["level"] == 0) & (F.length(p) < MIN_CHARS) & (p != ""))
+        whole = F.filter(F.array(b["whole"]), lambda p: (F.size(long) == 0) & (p != ""))
+        return F.concat(hashed(long, False), hashed(F.concat(short, whole), True))
+
+    return F.array_distinct(F.flatten(F.transform(split, found)))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """``messages`` (conv_id, turn, role, text) with own_text, quoted_lines, quote_depth and passages (level, h1, h2)."""
+    """``messages`` (conv_id, turn, role, text) with own_text, quoted_lines, quote_depth and passages (level, brief, h1, h2)."""
     lines = messages.withColumn("lines", _lines(F.col("text")))
     level = lambda line: line["level"]
     own = F.array_join(F.transform(F.filter("lines", lambda x: level(x) == 0), lambda x: x["content"]), "\n")
-    hashed = F.flatten(F.transform(
-        _blocks(F.col("lines")),
-        lambda b: F.transform(
-            _passages(b["content"]),
-            lambda p: F.struct(b["level"].alias("level"), F.xxhash64(p).alias("h1"), F.xxhash64(F.lit(1), p).alias("h2")),
-        ),
-    ))
     return lines.select(
         "conv_id", "turn", "role", "text",
         F.regexp_replace(own, r"^\s+|\s+$", "").alias("own_text"),
         F.size(F.filter("lines", lambda x: level(x) > 0)).cast("long").alias("quoted_lines"),
         F.array_max(F.transform("lines", level)).cast("long").alias("quote_depth"),
-        F.array_distinct(hashed).alias("passages"),
+        _passages(_blocks(F.col("lines"))).alias("passages"),
     )
 
 
@@ -94,12 +108,22 @@ def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, original): one row per message, quote level and message it quotes."""
     passages = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
         "conv_id", "turn", F.explode("passages").alias("p")
-    ).select("conv_id", "turn", "p.level", "p.h1", "p.h2")
-    key = ["conv_id", "h1", "h2"]
+    ).select("conv_id", "turn", "p.level", "p.brief", "p.h1", "p.h2")
+    key = ["conv_id", "brief", "h1", "h2"]
     quoted = cut(passages.filter("level > 0"))
     wanted = quoted.select(*key).distinct()
-    first = cut(passages.filter("level = 0").join(wanted, key, "left_semi").groupBy(*key).agg(F.min("turn").alias("original")))
-    return quoted.join(first, key).filter("original < turn").select("conv_id", "turn", "level", "original").distinct()
+    said = cut(passages.filter("level = 0").join(wanted, key, "left_semi").select(*key, "turn").distinct())
+    first = cut(said.filter("NOT brief").groupBy(*key).agg(F.min("turn").alias("original")))
+    by_first = quoted.join(first, key).filter("original < turn")
+    # a quote comes before what its own message says
+    order = lambda own: (F.col("turn").cast("decimal(20,0)") * 2 + own).alias("order")
+    both = said.filter("brief").select(*key, "turn", order(1), F.lit(None).cast("int").alias("level"), F.col("turn").alias("own")).unionByName(
+        quoted.filter("brief").select(*key, "turn", order(0), "level", F.lit(None).cast("long").alias("own")))
+    chunked = cut(both.withColumn("chunk", F.shiftright("turn", CHUNK_TURNS_BITS)))
+    latest = running(chunked, key, "chunk", "order", [Running("original", "max", F.col("own"))])
+    by_latest = latest.filter("level IS NOT NULL AND original IS NOT NULL")
+    columns = ["conv_id", "turn", "level", "original"]
+    return by_first.select(*columns).unionByName(by_latest.select(*columns)).distinct()
 
 
 def _resolved(heads: DataFrame) -> DataFrame:

@@ -10,11 +10,12 @@ slots from k * per_shard on, one after the other at a fixed stride: slot s lies
 
 Encoded texts are written once; stream positions are running sums inside each of its
 partitions plus one offset per partition. One shuffle by shard brings the pieces of the
-sequences together, and every task streams one shard to a file of its own, renamed when it is whole, so a repeated attempt
-does no harm and a shard that is already there with the right size is left as it is.
+sequences together, and every task streams a run of neighbouring shards, each to a file of its own, renamed when it is whole, so a
+repeated attempt does no harm. A shard that is already there is left as it is if its content, read again, has the same digest;
+another content, of other texts or another key, is replaced, and shards beyond the last one go.
 
 Defined results: a NULL text counts as an empty one and is one end token; repeated rows are
-repeated in the stream; an empty table gives no shards.
+repeated in the stream; very long texts are encoded whole; an empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from sparkbars.llm.columns import only
 from sparkbars.session import cut, scratch_root
 
 ROUNDS = 6
+MAX_TASKS = 16_384  # that write shards
 CHARS_AT_ONCE = 1 << 22
 ZSTD_LEVEL = 9
 ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": ZSTD_LEVEL, "parquet.page.size": 8 << 20}
@@ -173,6 +175,17 @@ def _writer(folder: str, layout: Layout, n: int):
         sink, shard, digest, size, name = None, -1, None, 0, ""
         done = []
 
+        def held(path: str, want: int) -> str | None:
+            """Digest of a file of the wanted size, which an earlier run or attempt may have left."""
+            there = system.get_file_info(path)
+            if there.type != fs.FileType.File or there.size != want:
+                return None
+            found = hashlib.sha256()
+            with system.open_input_stream(path) as file:
+                while data := file.read(1 << 20):
+                    found.update(data)
+            return found.hexdigest()
+
         def close() -> None:
             nonlocal sink
             want = min(n - shard * layout.per_shard, layout.per_shard) * layout.stride
@@ -180,10 +193,11 @@ def _writer(folder: str, layout: Layout, n: int):
                 raise ValueError(f"{shard_name(shard)} has {size} of {want} bytes")
             sink.close()
             final = f"{root}/{shard_name(shard)}"
-            there = system.get_file_info(final)
-            if there.type == fs.FileType.File and there.size == want:
+            if held(final, want) == digest.hexdigest():
                 system.delete_file(name)
             else:
+                if system.get_file_info(final).type == fs.FileType.File:
+                    system.delete_file(final)
                 system.move(name, final)
             done.append((shard, want // layout.stride, want, digest.hexdigest()))
             sink = None
@@ -228,17 +242,22 @@ def materialise(tokens: DataFrame, folder: str, layout: Layout = Layout()) -> tu
         last = spark.range(1).select(F.lit(missing).cast("long").alias("n"), F.lit(total).cast("long").alias("start"), F.lit(filler).alias("ids"))
         rows = rows.unionByName(last)
     pieces = rows.mapInArrow(_pieces(layout, n), "shard int, slot long, at int, ids binary")
-    _folder(folder)
-    dealt = pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot", "at")
+    _folder(folder, shards)
+    run = -(-shards // MAX_TASKS)  # neighbouring shards of one task
+    dealt = pieces.repartitionById(-(-shards // run), F.expr(f"CAST(shard div {run} AS INT)")).sortWithinPartitions("shard", "slot", "at")
     manifest = cut(dealt.mapInArrow(_writer(folder, layout, n), "shard int, sequences long, bytes long, sha256 string"))
     return manifest, index(stream, n, layout)
 
 
-def _folder(folder: str) -> None:
+def _folder(folder: str, shards: int) -> None:
+    """Makes the folder and clears it of shards beyond the last one, which an earlier, larger run left."""
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
+    for there in system.get_file_info(fs.FileSelector(root)):
+        if (name := there.base_name).startswith("shard-") and name.endswith(".bin") and int(name[6:-4]) >= shards:
+            system.delete_file(there.path)
 
 
 def index(stream: DataFrame, n: int, layout: Layout) -> DataFrame:

@@ -30,6 +30,26 @@ def test_nested_quotes_find_their_messages(spark):
     assert [got[t]["reply_order"] for t in range(6)] == list(range(6))
 
 
+def test_short_quotes_find_the_latest_message_that_said_it(spark):
+    rows = [
+        (1, 0, "user", "Is it safe? I would like to know before we go there."),
+        (1, 1, "assistant", "Yes."),
+        (1, 2, "user", "这样安全吗？"),
+        (1, 3, "assistant", "Yes.\nBut take care of the usual things on the way."),
+        (1, 4, "user", "> Is it safe?\nThat was my question."),
+        (1, 5, "assistant", "> 这样安全吗？\n是的。"),
+        (1, 6, "user", "> Yes.\nGood."),
+        (1, 7, "assistant", "> > yes\n> Good.\n!!"),
+        (1, 8, "user", "> ...\n> never said\nno original"),
+        (1, 9, "user", "> 是的。\n> Good.\ntwo short ones in one block"),
+        (2, 0, "user", "> Yes.\nnot of this conversation. Yes."),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t]["parent_turn"] for t in range(10)] == [None, 0, 1, 2, 0, 2, 3, 6, 7, 8]
+    assert [got[1, t]["n_links"] for t in range(10)] == [0, 0, 0, 0, 1, 1, 1, 2, 0, 0]
+    assert got[2, 0]["n_links"] == 0
+
+
 def test_random_threads_match_sql(spark, tmp_path):
     rng = random.Random(5)
     rows = [(None, 1, "user", "> lost\nmessage without a conversation"), (7, None, "user", None), (7, 1, None, ""), (7, 1, None, "")]
@@ -42,7 +62,7 @@ def test_random_threads_match_sql(spark, tmp_path):
                     lines += ["> " * rng.randint(1, 3) + part for part in rng.choice(said).split("\n")]
                 else:
                     lines.append(" ".join(rng.choices(["alpha", "beta", "Gamma", "délta", "the", "end."], k=rng.randint(1, 6))))
-            lines += [f"message {conv} number {turn} says {rng.random()}."]
+            lines += [f"message {conv} number {turn} says {rng.random()}.", rng.choice(["Yes.", "No!", "好的。", "Ok? Fine.", ""])]
             said.append("\n".join(lines))
             rows.append((conv, turn * 700, "user", said[-1]))
     rows += rows[-3:]
@@ -63,6 +83,7 @@ def test_extra_columns_with_clashing_names(spark):
 def test_second_hash_of_a_passage_reads_the_passage_itself(spark):
     text, one = "a sentence with words", struct.pack("<i", 1)
     row = parsed(spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")).first()["passages"][0]
+    assert (row["level"], row["brief"]) == (0, False)
     h1, h2 = (row[h] % (1 << 64) for h in ("h1", "h2"))
     assert h1 == xxhash.xxh64_intdigest(text, 42)
     # seeded by the first hash, the second would collide whenever the first does

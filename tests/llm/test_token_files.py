@@ -1,6 +1,7 @@
 """Token files: the permutation, a round trip through the shards, and resuming."""
 
 import glob
+import hashlib
 import os
 
 import numpy as np
@@ -71,6 +72,28 @@ def test_shards_that_are_there_stay(spark, tmp_path):
     assert all(os.stat(f).st_ino == i for f, i in before.items() if f != files[2])
 
 
+def test_other_content_in_the_same_folder_is_replaced(spark, tmp_path):
+    rows = [(i, t, 0, "x") for i, t in enumerate(TEXTS)]
+    first = token_files.Layout(length=8, per_shard=5, key=1)
+    other = token_files.Layout(length=8, per_shard=5, key=2)
+    _, old, _, _ = written(spark, tmp_path, first, rows)
+    _, new, _, _ = written(spark, tmp_path, other, [(i, (t or "")[::-1], p, x) for i, t, p, x in rows[: len(rows) // 2]])
+    assert {r["bytes"] for r in old.values()} & {r["bytes"] for r in new.values()} and len(new) < len(old)
+    files = sorted(glob.glob(f"{tmp_path}/out/*"))
+    assert [os.path.basename(f) for f in files] == [token_files.shard_name(s) for s in sorted(new)]
+    assert [hashlib.sha256(open(f, "rb").read()).hexdigest() for f in files] == [new[s]["sha256"] for s in sorted(new)]
+
+
+def test_a_task_may_write_several_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "MAX_TASKS", 3)
+    layout = token_files.Layout(length=8, per_shard=5)
+    folder, manifest, _, _ = written(spark, tmp_path, layout, [(i, t, 0, "x") for i, t in enumerate(TEXTS)])
+    for shard, row in manifest.items():
+        with open(f"{tmp_path}/out/{token_files.shard_name(shard)}", "rb") as file:
+            assert hashlib.sha256(file.read()).hexdigest() == row["sha256"]
+    assert len(manifest) > 9
+
+
 def test_query_and_empty_table(spark, tmp_path):
     os.makedirs(tmp_path / "a")
     os.makedirs(tmp_path / "b")
