@@ -54,7 +54,9 @@ def add_indicators(
             Roll("_taker_sum", "sum", "taker_buy_base", vol_period),
             Roll("_volume_sum", "sum", "volume", vol_period),
         ]
-    frame.roll(rolls)
+    ratios = {"_atr_share": ("atr", "close")}
+    rolls.append(Roll("atr_daily", "avg", "_atr_share", daily_bars, current=True))
+    frame.with_columns({f"_close_{k}": frame.lagged("close", k) for k in RETURN_LAGS}).roll(rolls, ratios=ratios)
     close, width = F.col("close"), F.col("entry_high") - F.col("entry_low")
     columns = {
         "vol_ratio": F.try_divide("volume", "vol_ma"),
@@ -63,15 +65,14 @@ def add_indicators(
             width > 0,
             F.least(F.greatest(F.try_divide(close - F.col("entry_low"), width), F.lit(0.0)), F.lit(1.0)),
         ).otherwise(F.lit(0.5)),
-        "_atr_share": F.try_divide("atr", "close"),
     }
     for k in RETURN_LAGS:
-        columns[f"ret_{k}"] = F.try_divide(close, frame.lagged("close", k)) - 1.0
+        columns[f"ret_{k}"] = F.try_divide(close, F.col(f"_close_{k}")) - 1.0
     if has_taker:
         columns["taker_buy_ratio"] = F.try_divide("_taker_sum", "_volume_sum")
     frame.with_columns(columns)
-    frame.roll([Roll("atr_daily", "avg", "_atr_share", daily_bars, current=True)])
     hidden = ["_prev_close", "_log_volume", "_log_mean", "_log_std", "_taker_sum", "_volume_sum", "_atr_share"]
+    hidden += [f"_close_{k}" for k in RETURN_LAGS]
     return frame.core().drop(*hidden)
 
 
