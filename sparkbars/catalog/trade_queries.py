@@ -1,5 +1,7 @@
 """Backtests, sweeps, sizing, admission and ledgers."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -405,6 +407,38 @@ def sweep_dataset(spark, sf):
     ))
 
 
+FRAGILE_GRID = {"side": ["up", "down", "sideways", "broken"], "least": [0.0, 50.0]}
+
+
+def _moves(bars: DataFrame, combos) -> DataFrame:
+    """Bars that move one way by more than a limit; a side that is not known fails at once, a broken one while it runs."""
+    parts = []
+    for i, c in combos.items():
+        if c["side"] not in ("up", "down", "broken"):
+            raise ValueError(f"no such side: {c['side']}")
+        move = F.col("close") - F.col("open") if c["side"] == "up" else F.col("open") - F.col("close")
+        rows = bars.filter(move > c["least"])
+        if c["side"] == "broken":
+            rows = rows.filter(F.raise_error(F.concat(F.lit("broken at "), "symbol")).isNull())
+        parts.append(rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(move), 6).alias("moved")).withColumn("run_id", F.lit(i)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register(
+    "sweep_failures",
+    ctes(event_bars_sql(), """
+    params AS (SELECT CAST(2 * s + l AS INTEGER) AS run_id, side, least FROM
+      (VALUES (0, 'up'), (1, 'down'), (2, 'sideways'), (3, 'broken')) a(s, side), (VALUES (0, 0.0::DOUBLE), (1, 50.0::DOUBLE)) b(l, least)),
+    moves AS (SELECT run_id, CASE side WHEN 'up' THEN close - open ELSE open - close END AS move, least FROM bars, params WHERE side IN ('up', 'down'))""")
+    + """SELECT p.run_id, p.side, p.least, CASE WHEN side IN ('up', 'down') THEN count(move) END AS n, round(sum(move), 6) AS moved,
+      side NOT IN ('up', 'down') AS failed
+    FROM params p LEFT JOIN moves m ON m.run_id = p.run_id AND m.move > p.least GROUP BY p.run_id, p.side, p.least""",
+)
+def sweep_failures(spark, sf):
+    out = P.sweep(event_bars(spark, sf), FRAGILE_GRID, _moves)
+    return out.select("run_id", "side", "least", "n", "moved", F.col("error").isNotNull().alias("failed"))
+
+
 BAD_GRID = {"horizon": [0, 36], "tp": [-0.01, 0.01], "sl": -0.005, "entry_period": [20], "intensity_threshold": 0.0}
 
 

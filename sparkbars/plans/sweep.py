@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -142,11 +146,23 @@ def backtest(
     return Backtest(prepared, candidates, trades, metrics)
 
 
+def _kind(name: str, values: Sequence[object]) -> str:
+    """Type of a parameter column: text and flags of a swept target stay what they are."""
+    if name in _INT_FIELDS or name == "horizon":
+        return "int"
+    known = [v for v in values if v is not None]
+    if name in RUN_FIELDS or name in BARRIER_FIELDS:
+        return "double"
+    if known and all(isinstance(v, bool) for v in known):
+        return "boolean"
+    return "double" if all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in known) else "string"
+
+
 def _with_params(result: DataFrame, combos: Sequence[Mapping], errors: Mapping[int, str]) -> DataFrame:
     """Parameter columns by run; a combination that could not run has one row with its error text."""
     spark = result.sparkSession
     names = list(dict.fromkeys(k for c in combos for k in c))
-    kinds = {n: "int" if n in _INT_FIELDS or n == "horizon" else "double" for n in names}
+    kinds = {n: _kind(n, [c.get(n) for c in combos]) for n in names}
     rows = F.array(*[
         F.struct(
             F.lit(i).alias("run_id"),
@@ -192,34 +208,61 @@ def sweep_backtest(
     """
     combos = expand_grid(grid)
     runs, errors = runs_of([coupled(c) for c in combos] if couple else combos)
-    if not runs:
-        raise ValueError(f"no combination can run: {sorted(set(errors.values()))}")
+    if not runs:  # nothing can run: the rows of a run over no bars are none, and the errors remain
+        bars, runs = bars.limit(0), [Run(-1)]
     result = finite_profit_factor(display_metrics(backtest(bars, runs, **options).metrics))
     if couple:
         result = result.withColumn("score", F.col("sharpe") - F.col("max_dd_pct") * 0.02)
     return ranked(_with_params(result, combos, errors), rank_by, ascending)
 
 
-def sweep(bars: DataFrame, grid: Mapping[str, object], target: SweepTarget) -> DataFrame:
-    """Rows of any target for every combination; one that the target refuses shows its error text.
+def _isolated(spark: SparkSession, make: Callable[[], DataFrame], timeout: float | None) -> tuple[DataFrame | None, str | None]:
+    """The written rows of a job that runs apart from others, or what became of it.
+
+    The job has a group of its own. After ``timeout`` seconds the group is cancelled and its tasks are interrupted; a
+    function that hangs on the driver cannot be stopped and is left to itself.
+    """
+    group, done = f"sweep-{uuid.uuid4().hex}", {}
+
+    def run() -> None:
+        spark.sparkContext.setJobGroup(group, "one part of a sweep", interruptOnCancel=True)
+        try:
+            done["rows"] = cut(make())
+        except Exception as e:  # a target may fail in any way; its words become the row's error
+            done["error"] = (str(e) or type(e).__name__).split("\n")[0]
+
+    job = InheritableThread(target=run, session=spark, daemon=True)
+    job.start()
+    job.join(timeout)
+    if job.is_alive():
+        spark.sparkContext.cancelJobGroup(group)
+        return None, "timeout"
+    return done.get("rows"), done.get("error")
+
+
+def sweep(
+    bars: DataFrame, grid: Mapping[str, object], target: SweepTarget, timeout: float | None = None, n_jobs: int = 4
+) -> DataFrame:
+    """Rows of any target for every combination; one that fails shows its error text, one that hangs ``timeout``.
 
-    ``target`` gets the combinations by number and returns rows with ``run_id``. If it
-    raises for all of them together, each is tried alone, so that one bad set cannot hide the rest.
+    ``target`` gets the combinations by number and returns rows with ``run_id``. All of them together are one
+    job, with ``timeout`` seconds per combination. If that job fails, while its plan is built or while it runs, each combination is
+    a job of its own, ``n_jobs`` at a time, so that one bad set cannot hide the rest.
     """
+    spark = bars.sparkSession
     combos = dict(enumerate(expand_grid(grid)))
     errors: dict[int, str] = {}
-    try:
-        result = target(bars, combos)
-    except Exception:  # a target may refuse in any way; its words become the row's error
-        result = None
-        for i, combo in combos.items():
-            try:
-                own = target(bars, {i: combo})
-                result = own if result is None else result.unionByName(own)
-            except Exception as e:
-                errors[i] = str(e) or type(e).__name__
-        if result is None:
-            raise
+    result, failed = _isolated(spark, lambda: target(bars, combos), timeout and timeout * len(combos))
+    if failed:
+        with ThreadPoolExecutor(n_jobs) as pool:
+            alone = pool.map(lambda item: _isolated(spark, lambda: target(bars, dict([item])), timeout), combos.items())
+            parts = dict(zip(combos, alone, strict=True))
+        for i in [i for i, (_, error) in parts.items() if error == "timeout" and n_jobs > 1]:
+            # it may have waited for one that hangs, so its time counts again, alone
+            parts[i] = _isolated(spark, lambda: target(bars, {i: combos[i]}), timeout)
+        errors = {i: error for i, (_, error) in parts.items() if error}
+        good = [rows for rows, _ in parts.values() if rows is not None]
+        result = reduce(DataFrame.unionByName, good) if good else spark.createDataFrame([], "run_id int")
     return _with_params(result, list(combos.values()), errors)
 
 
@@ -250,7 +293,7 @@ def sweep_dataset(bars: DataFrame, grid: Mapping[str, object]) -> DataFrame:
     combos = [{"horizon": 288, "tp": 0.02, "sl": -0.01, **c} for c in expand_grid(grid)]
     runs, errors = runs_of(combos, BARRIER_FIELDS)
     if not runs:
-        raise ValueError(f"no combination can run: {sorted(set(errors.values()))}")
+        bars, runs = bars.limit(0), [Run(-1)]
     prepared = channel_table(bars, runs)
     settings = F.array(*[
         F.struct(
