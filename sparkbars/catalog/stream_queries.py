@@ -13,7 +13,9 @@ from sparkbars.streaming.accounts import stream_accounts
 from sparkbars.streaming.entries import Rule, stream_channels, stream_entries
 from sparkbars.streaming.order_states import stream_orders
 from sparkbars.streaming.routing import route
-from sparkbars.streaming.state import run_available, stream_of
+from sparkbars.streaming.state import replay_of, run_available, run_counted, stream_of
+
+TIMES = ["open_time", "symbol"]
 
 _LAST = """
 coded AS (SELECT *, CASE WHEN (close - eh) / unit > 0 THEN 1 WHEN (el - close) / unit > 0 THEN -1
@@ -32,10 +34,26 @@ def _bar_table(spark, sf):
     round(xl, 6) AS exit_low, round(atr, 6) AS atr FROM perrun""",
 )
 def channels(spark, sf):
-    out = run_available(stream_channels(stream_of(_bar_table(spark, sf)), Rule()))
+    out = run_available(stream_channels(replay_of(_bar_table(spark, sf), TIMES), Rule()))
     return rounded(out.select("symbol", "pos", "open_time", "entry_high", "entry_low", "exit_high", "exit_low", "atr"))
 
 
+AGAIN_EVERY = 7
+
+
+@register(
+    "stream_repeated_bars",
+    ctes(event_bars_sql(), runs_sql(ONE_RUN)) + f"""SELECT symbol, pos, open_time, round(eh, 6) AS entry_high, round(atr, 6) AS atr,
+      (SELECT CAST(count(*) AS BIGINT) FROM bars WHERE pos % {AGAIN_EVERY} = 0) AS repeated FROM perrun""",
+)
+def repeated_bars(spark, sf):
+    """Every seventh bar comes twice; the watermark de-duplication drops it before it reaches the channels."""
+    bars = _bar_table(spark, sf)
+    twice = cut(bars.unionByName(bars.filter(F.col("pos") % AGAIN_EVERY == 0)))
+    out, counts = run_counted(stream_channels(replay_of(twice, TIMES), Rule(), delay="1 day"))
+    return rounded(out.select("symbol", "pos", "open_time", "entry_high", "atr", F.lit(counts["repeated"]).cast("long").alias("repeated")))
+
+
 @register(
     "stream_entries",
     ctes(event_bars_sql(), runs_sql(ONE_RUN), _LAST, """
@@ -54,8 +72,10 @@ def entries(spark, sf):
     args = [F.col(c) for c in ("close", "high_20", "low_20", "high_10", "low_10", "atr_20")]
     # The channel exit of a bar stands for the message that the position was closed.
     closed = channels.filter((F.col("pos") >= 20) & (F.abs(last_bar_signal(*args, 0.0)) == 2))
-    closes = cut(closed.select("symbol", "open_time"))
-    out = run_available(stream_entries(stream_of(bars), stream_of(closes), Rule()))
+    # one source for both, so that a trigger holds the bars and the messages of the same time
+    marked = bars.join(closed.select("symbol", "open_time", F.lit(True).alias("closing")), ["symbol", "open_time"], "left")
+    stream = replay_of(marked, TIMES)
+    out = run_available(stream_entries(stream, stream.filter("closing"), Rule()))
     return rounded(out.drop("score"))
 
 
@@ -87,7 +107,7 @@ def accounts(spark, sf):
         F.when(kind == "click", value).alias("entry_price"),
         F.when(kind == "error", value).alias("stop_price"),
     ))
-    return run_available(stream_accounts(stream_of(updates)))
+    return run_available(stream_accounts(replay_of(updates, ["ts_us", "tie"])))
 
 
 _ORDERS_SQL = """

@@ -8,10 +8,10 @@ waits until the position is reported closed.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from sparkbars.functions.signals import last_bar_signal, stop_level
 from sparkbars.functions.sizing import risk_size
-from sparkbars.streaming.state import use_state_store
+from sparkbars.streaming.state import sorted_rows, use_state_store
 
 # States of the entry decision.
 IDLE, WAITING_CLOSE = "IDLE", "WAITING_CLOSE"
@@ -29,7 +29,12 @@ _BAR_SCHEMA = (
     "symbol string, pos long, open_time long, high double, low double, close double, "
     "entry_high double, entry_low double, exit_high double, exit_low double, atr double, late_bars long"
 )
-_STATE_SCHEMA = "last long, next_pos long, late long, high array<double>, low array<double>, close array<double>"
+_EDGES = ["entry_high", "entry_low", "exit_high", "exit_low"]
+_STATE_SCHEMA = (
+    "last long, next_pos long, late long, close double, total double, rest double, no_high long, no_low long, no_range long, "
+    + ", ".join(f"{e}_at array<long>, {e}_value array<double>" for e in _EDGES)
+)
+RANGE_BLOCK = 64  # bars whose ranges are kept together
 
 
 @dataclass(frozen=True)
@@ -40,69 +45,129 @@ class Rule:
     atr_mult: float = 2.0
     intensity_threshold: float = 0.0
 
-    @property
-    def buffer_rows(self) -> int:
-        return max(self.entry_period, self.exit_period, self.atr_period + 1)
 
+class Edge:
+    """Highest (sign 1) or lowest (sign -1) value of the bars before, as the few of them that can still become it."""
 
-def _channels(bars: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    """Channels and average range of consecutive bars, from bars before each row only."""
-    high, low, prev = bars["high"], bars["low"], bars["close"].shift(1)
-    spread = np.fmax(high - low, np.fmax((high - prev).abs(), (low - prev).abs()))
+    def __init__(self, period: int, sign: int, at=(), values=()):
+        self.period, self.sign, self.kept = period, sign, deque(zip(at, values))
 
-    def before(series, period, how):
-        return getattr(series.rolling(period), how)().shift(1)
+    def before(self, pos: int, missing: int) -> float | None:
+        while self.kept and self.kept[0][0] < pos - self.period:
+            self.kept.popleft()
+        return self.kept[0][1] if pos >= self.period and missing < pos - self.period else None
 
-    return bars.assign(
-        entry_high=before(high, rule.entry_period, "max"), entry_low=before(low, rule.entry_period, "min"),
-        exit_high=before(high, rule.exit_period, "max"), exit_low=before(low, rule.exit_period, "min"),
-        atr=before(spread, rule.atr_period, "mean"),
-    )
+    def push(self, pos: int, value: float) -> None:
+        while self.kept and self.kept[-1][1] * self.sign <= value * self.sign:
+            self.kept.pop()
+        self.kept.append((pos, value))
+
+    def lists(self) -> tuple[list, list]:
+        return [at for at, _ in self.kept], [value for _, value in self.kept]
+
+
+class Ranges:
+    """Sum of the ranges of the last bars, with its rounding error; the ranges themselves lie in blocks in a map state."""
+
+    def __init__(self, period: int, state, total: float, rest: float):
+        self.period, self.state, self.total, self.rest = period, state, total, rest
+        self.blocks: dict[int, list[float]] = {}
+
+    def _block(self, number: int) -> list[float]:
+        if number not in self.blocks:
+            self.blocks[number] = list(self.state.getValue((number,))[0]) if self.state.containsKey((number,)) else []
+        return self.blocks[number]
+
+    def _add(self, value: float) -> None:
+        total = self.total + value
+        part = total - self.total
+        self.rest += (self.total - (total - part)) + (value - part)
+        self.total = total
+
+    def push(self, pos: int, value: float) -> None:
+        """Takes in the range of a bar, and lets go the one that leaves the window."""
+        self._block(pos // RANGE_BLOCK).append(value)
+        self._add(value)
+        gone = pos - self.period
+        if gone >= 0:
+            self._add(-self._block(gone // RANGE_BLOCK)[gone % RANGE_BLOCK])
+            if gone % RANGE_BLOCK == RANGE_BLOCK - 1:
+                self.blocks.pop(gone // RANGE_BLOCK)
+                if self.state.containsKey((gone // RANGE_BLOCK,)):
+                    self.state.removeKey((gone // RANGE_BLOCK,))
+
+    def mean(self) -> float:
+        return (self.total + self.rest) / self.period
+
+    def store(self, pos: int) -> None:
+        """Only blocks that grew are written."""
+        for number, values in self.blocks.items():
+            if number >= self.stored:
+                self.state.updateValue((number,), (values,))
+
+    stored = 0
 
 
 class ChannelState(StatefulProcessor):
-    """Newest bars per symbol; every new closed bar comes out with its channels.
+    """What the channels of a symbol need of its past; every new closed bar comes out with its channels.
 
-    A bar not newer than the last one is dropped and counted.
+    Highest and lowest values are queues of the bars that can still become one, the range is a running sum, so a
+    call reads and writes a few values and not the window, whatever its length. A bar not newer than the last one is
+    dropped and counted. The rows of a symbol in one trigger are sorted in memory; the source bounds them.
     """
 
     def __init__(self, rule: Rule):
         self.rule = rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bars", _STATE_SCHEMA)
-
-    def _load(self):
-        if not self.state.exists():
-            return -(2**62), 0, 0, pd.DataFrame({c: pd.Series(dtype="float64") for c in ("high", "low", "close")})
-        last, next_pos, late, high, low, close = self.state.get()
-        return last, next_pos, late, pd.DataFrame({"high": high, "low": low, "close": close}, dtype="float64")
-
-    def _store(self, last, next_pos, late, bars):
-        keep = bars.tail(self.rule.buffer_rows)
-        lists = [[None if np.isnan(v) else float(v) for v in keep[c]] for c in ("high", "low", "close")]
-        self.state.update((int(last), int(next_pos), int(late), *lists))
+        self.state = handle.getValueState("channels", _STATE_SCHEMA)
+        self.ranges = handle.getMapState("ranges", "block long", "values array<double>")
 
     def _advance(self, symbol, frames) -> pd.DataFrame:
-        last, next_pos, late, kept = self._load()
-        rows = pd.concat(frames, ignore_index=True).sort_values("open_time", kind="stable")
-        fresh = rows[rows["open_time"] > last].drop_duplicates("open_time")
-        late += len(rows) - len(fresh)
-        both = pd.concat([kept, fresh[["high", "low", "close"]].astype("float64")], ignore_index=True)
-        out = _channels(both, self.rule).iloc[len(kept):].reset_index(drop=True)
-        out.insert(0, "symbol", symbol)
-        out.insert(1, "pos", next_pos + np.arange(len(fresh)))
-        out.insert(2, "open_time", fresh["open_time"].to_numpy())
-        out["late_bars"] = late
-        newest = int(fresh["open_time"].iloc[-1]) if len(fresh) else last
-        self._store(newest, next_pos + len(fresh), late, both)
-        return out
+        rule = self.rule
+        last, pos, late, close, total, rest, no_high, no_low, no_range, *kept = (
+            self.state.get() if self.state.exists() else (-(2**62), 0, 0, None, 0.0, 0.0, -1, -1, -1, *[()] * 8)
+        )
+        periods = [rule.entry_period, rule.entry_period, rule.exit_period, rule.exit_period]
+        edges = [Edge(p, sign, kept[2 * i], kept[2 * i + 1]) for i, (p, sign) in enumerate(zip(periods, (1, -1, 1, -1)))]
+        ranges = Ranges(rule.atr_period, self.ranges, total, rest)
+        ranges.stored = pos // RANGE_BLOCK
+        out = []
+        for at, high, low, now in sorted_rows(frames, ["open_time", "high", "low", "close"], ["open_time"]):
+            if at is None or at <= last:
+                late += 1
+                continue
+            last = at
+            found = [e.before(pos, no_high if i % 2 == 0 else no_low) for i, e in enumerate(edges)]
+            atr = ranges.mean() if pos >= rule.atr_period and no_range < pos - rule.atr_period else None
+            out.append((symbol, pos, at, high, low, now, *found, atr))
+            spread = [v for v in (_minus(high, low), _apart(high, close), _apart(low, close)) if v is not None]
+            if spread:
+                ranges.push(pos, max(spread))
+            else:
+                no_range = pos
+                ranges.push(pos, 0.0)
+            if high is None:
+                no_high = pos
+            if low is None:
+                no_low = pos
+            for i, e in enumerate(edges):
+                if (value := low if i % 2 else high) is not None:
+                    e.push(pos, value)
+            close, pos = now, pos + 1
+        ranges.store(pos)
+        lists = [x for e in edges for x in e.lists()]
+        self.state.update((last, pos, late, close, ranges.total, ranges.rest, no_high, no_low, no_range, *lists))
+        names = [f.split()[0] for f in _BAR_SCHEMA.split(", ")]
+        table = pd.DataFrame(out, columns=names[:-1])
+        table[names[3:-1]] = table[names[3:-1]].astype("float64")
+        return table.assign(late_bars=late)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         self._advance(key[0], [initialState])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = self._advance(key[0], list(rows))
+        out = self._advance(key[0], rows)
         if len(out):
             yield out
 
@@ -110,11 +175,26 @@ class ChannelState(StatefulProcessor):
         pass
 
 
-def stream_channels(bars: DataFrame, rule: Rule, history: DataFrame | None = None) -> DataFrame:
-    """Closed bars with channels. ``history`` holds bars known before the stream starts."""
+def _minus(a: float | None, b: float | None) -> float | None:
+    return None if a is None or b is None else a - b
+
+
+def _apart(a: float | None, b: float | None) -> float | None:
+    return None if a is None or b is None else abs(a - b)
+
+
+def stream_channels(bars: DataFrame, rule: Rule, history: DataFrame | None = None, delay: str | None = None) -> DataFrame:
+    """Closed bars with channels. ``history`` holds bars known before the stream starts.
+
+    With ``delay``, an interval such as "10 minutes", bars of a symbol and time that were seen within it are dropped
+    before they reach the state, and so are those later than it; ``run_counted`` reports how many.
+    """
     use_state_store(bars.sparkSession)
     columns = ["symbol", "open_time", "high", "low", "close"]
     initial = None if history is None else history.select(*columns).groupBy("symbol")
+    if delay is not None:
+        bars = bars.withColumn("_clock", F.timestamp_millis("open_time")).withWatermark("_clock", delay)
+        bars = bars.dropDuplicatesWithinWatermark(["symbol", "open_time"])
     return bars.select(*columns).groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=ChannelState(rule), outputStructType=_BAR_SCHEMA, outputMode="Append",
         timeMode="None", initialState=initial,
@@ -134,19 +214,18 @@ class EntryGate(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         mode = self.mode.get()[0] if self.mode.exists() else IDLE
-        inputs = pd.concat(list(rows), ignore_index=True)
-        # A close reported at a bar's time takes effect before that bar.
-        inputs = inputs.sort_values(["open_time", "is_close"], ascending=[True, False], kind="stable")
+        names = [f.split()[0] for f in _ENTRY_SCHEMA.split(", ")]
         passed = []
-        for i, closing in enumerate(inputs["is_close"].to_numpy()):
+        # A close reported at a bar's time takes effect before that bar.
+        for closing, *row in sorted_rows(rows, ["is_close", *names], ["open_time", "is_close"], [True, False]):
             if closing:
                 mode = IDLE
             elif mode == IDLE:
-                passed.append(i)
+                passed.append(row)
                 mode = WAITING_CLOSE
         self.mode.update((mode,))
         if passed:
-            yield inputs.iloc[passed].drop(columns="is_close")
+            yield pd.DataFrame(passed, columns=names)
 
     def close(self) -> None:
         pass

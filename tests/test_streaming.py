@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import deque
 
 import pandas as pd
 import pytest
@@ -7,9 +8,10 @@ from pyspark.sql import functions as F
 from sparkbars.functions.signals import last_bar_signal
 from sparkbars.operators.indicators import add_channels
 from sparkbars.streaming.accounts import stream_accounts
-from sparkbars.streaming.entries import Rule, stream_channels, stream_entries
+from sparkbars.streaming.entries import Edge, Rule, stream_channels, stream_entries
 from sparkbars.streaming.order_states import stream_orders
 from sparkbars.streaming.routing import route
+from sparkbars.streaming.state import replay_of, run_counted
 from tests.data import frame, walk
 
 RULE = Rule(12, 6, 8, 2.0, 0.0)
@@ -61,6 +63,59 @@ def test_late_and_repeated_bars_are_dropped_and_counted(spark, bars, tmp_path):
     assert got[got.pos == 199].late_bars.tolist() == [10, 10]
 
 
+@pytest.mark.parametrize("rule", [RULE, Rule(70, 90, 130, 2.0, 0.0)])
+def test_replay_of_100_rows_a_trigger_equals_the_batch_job(spark, rule):
+    bars = pd.concat([walk(63, 500, "A"), walk(64, 450, "B", step=2.0)])
+    bars.loc[(bars.symbol == "A") & bars.pos.isin([41, 42, 300]), ["high", "close"]] = None
+    stream = replay_of(frame(spark, bars), ["open_time", "symbol"], 100)
+    got, counts = run_counted(stream_channels(stream, rule))
+    table = add_channels(frame(spark, bars), [rule.entry_period], [rule.exit_period], [rule.atr_period])
+    names = [f"high_{rule.entry_period}", f"low_{rule.entry_period}", f"high_{rule.exit_period}", f"low_{rule.exit_period}", f"atr_{rule.atr_period}"]
+    _compare(got.toPandas(), table.select("symbol", "pos", *[F.col(c).alias(n) for n, c in zip(CHANNELS, names)]).toPandas())
+    assert counts["triggers"] >= 9 and counts["late"] == counts["repeated"] == 0
+
+
+def test_watermark_drops_repeated_and_late_bars_across_triggers(spark, tmp_path):
+    bars = pd.concat([walk(65, 200, "A"), walk(66, 200, "B")])
+    step = bars.open_time.diff().dropna().median()
+    batches = [bars[bars.pos < 90], pd.concat([bars[(bars.pos >= 85) & (bars.pos < 150)], bars[bars.pos == 100]]), bars[(bars.pos >= 150) | (bars.pos == 3)]]
+    delay = f"{int(20 * step)} milliseconds"
+    got = drive(spark, lambda s: stream_channels(s, RULE, delay=delay), [frame(spark, b) for b in batches], str(tmp_path))
+    _compare(got, _batch_channels(spark, bars).toPandas())
+    # repeats within the delay never reach the channels, so nothing is left to count there
+    assert got[got.pos == 199].late_bars.tolist() == [0, 0]
+
+
+def test_dropped_rows_are_reported(spark):
+    bars = walk(67, 300, "A")
+    again = pd.concat([bars, bars[bars.pos % 10 == 0]])
+    out, counts = run_counted(stream_channels(replay_of(frame(spark, again), ["open_time"], 100), RULE, delay="1 day"))
+    assert out.count() == 300 and counts["repeated"] == 30
+
+
+def test_entries_do_not_depend_on_the_rows_per_trigger(spark, bars):
+    closes = _batch_channels(spark, bars).filter("pos >= 12").withColumn(
+        "code", last_bar_signal(*[F.col(c) for c in ("close", *CHANNELS)], 0.0)).filter("abs(code) = 2")
+    marked = frame(spark, bars).join(closes.select("symbol", "open_time", F.lit(True).alias("closing")), ["symbol", "open_time"], "left")
+
+    def run(rows):
+        stream = replay_of(marked, ["open_time", "symbol"], rows)
+        return sorted(map(tuple, run_counted(stream_entries(stream, stream.filter("closing"), RULE))[0].collect()))
+
+    assert run(100) == run(1 << 20) != []
+
+
+def test_state_holds_candidates_not_windows():
+    edge = Edge(1000, 1)
+    for pos, value in enumerate(walk(68, 5000).high):
+        assert edge.before(pos, -1) == (None if pos < 1000 else max(v for _, v in list(seen)))
+        edge.push(pos, value)
+        if pos == 0:
+            seen = deque(maxlen=1000)
+        seen.append((pos, value))
+    assert len(edge.kept) < 200
+
+
 def test_history_warms_the_state(spark, bars, tmp_path):
     history, live = bars[bars.pos < 100], bars[bars.pos >= 100]
     got = drive(spark, lambda s: stream_channels(s, RULE, frame(spark, history)), [frame(spark, live)], str(tmp_path))
