@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from sparkbars.catalog.event_queries import DATASET_SQL, HORIZON, event_indicators, fixed_dataset
+from sparkbars.catalog.event_queries import DATASET_SQL, HORIZON, fixed_dataset
 from sparkbars.catalog.inputs import event_bars
 from sparkbars.catalog.registry import register, rounded
-from sparkbars.catalog.trade_queries import ONE_RUN, OPTIONS
+from sparkbars.catalog.trade_queries import OPTIONS
 from sparkbars.functions import features as X
 from sparkbars.operators import evaluate as V
 from sparkbars.operators import model as M
+from sparkbars.operators.trades import Run
 from sparkbars.plans.sweep import backtest, finite_profit_factor
 from sparkbars.session import cut
 
@@ -148,10 +149,16 @@ def gbt_cross_validation(spark, sf):
     return V.cv_summary(M.cross_validate(_folds(spark, sf), FOLDS, TARGET, maxIter=3, maxDepth=3))
 
 
+ML_RUNS = [Run(0, 20, 10, 20, 2.0, 0.0), Run(1, 40, 20, 40, 2.0, 0.0)]
+
+
 @register("backtest_ml_filtered")
 def backtest_ml_filtered(spark, sf):
-    bars = cut(event_indicators(spark, sf))
-    model = M.train_regressor(cut(fixed_dataset(spark, sf)), TARGET, **TREES)
-    keep = M.keep_scored(model, bars, X.default_feature_set())
-    done = backtest(event_bars(spark, sf), ONE_RUN, keep_entry=keep, **OPTIONS)
+    """Learns from the first four fifths of the events and trades on the bars after them, each run by its own periods."""
+    split = cut(V.chronological_split(V.time_index(cut(fixed_dataset(spark, sf)))))
+    model = M.train_regressor(split.filter("role = 'train'"), TARGET, **TREES)
+    start = split.filter("role = 'test'").agg(F.min("event_time")).first()[0]
+    bars = event_bars(spark, sf)
+    keep = M.keep_scored_by_run(model, cut(bars), ML_RUNS, X.default_feature_set(), from_time=start)
+    done = backtest(bars, ML_RUNS, keep_entry=keep, **OPTIONS)
     return finite_profit_factor(done.metrics)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkbars.operators.ranks import average_rank, quantiles, value_counts
-from sparkbars.operators.running import row_index
+from sparkbars.operators.running import range_index
 from sparkbars.session import cut
 
 # Acceptance limits of the evaluation.
@@ -162,14 +162,9 @@ def auc_roc(df: DataFrame, score: str, target: str) -> DataFrame:
     return sums.select(auc.alias("auc"), (usable & (auc > AUC_THRESHOLD)).alias("pass"))
 
 
-def time_index(dataset: DataFrame, day_ms: int = 86_400_000) -> DataFrame:
-    """Rows numbered from 0 in time order (ties by symbol); only one row per day is ordered globally."""
-    if dict(dataset.dtypes)["event_time"] == "bigint":
-        day = F.floor(F.col("event_time") / day_ms)
-    else:
-        day = F.to_date("event_time")
-    dayed = dataset.withColumn("_day", day)
-    return row_index(dayed, [], "_day", ["event_time", "symbol", "pos"]).drop("_day")
+def time_index(dataset: DataFrame) -> DataFrame:
+    """Rows numbered from 0 in time order (ties by symbol and position); rows of one time are spread like others."""
+    return range_index(dataset, ["event_time", "symbol", "pos"])
 
 
 def event_gap(dataset: DataFrame, horizon: int, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from sparkbars.functions.features import Feature, compute_features
 from sparkbars.operators.evaluate import rank_ic
+from sparkbars.operators.indicators import add_indicators
+from sparkbars.operators.trades import Run
 from sparkbars.schema import NON_FEATURE_COLUMNS
 from sparkbars.session import cut
 
@@ -101,18 +103,50 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def keep_scored(model: PipelineModel, bars: DataFrame, features: Feature, threshold: float = 0.0):
     """A candidate filter for backtests: entries whose score exceeds the threshold.
 
-    Only candidate bars are scored, each once, whatever the number of runs that enter there.
+    ``bars`` is one indicator table for all runs. Only candidate bars are scored, each once, whatever the number of runs that
+    enter there.
     """
 
     def keep(candidates: DataFrame) -> DataFrame:
         wanted = candidates.select("symbol", "pos").distinct()
-        at = bars.join(wanted, ["symbol", "pos"], "left_semi")
-        passed = score(model, compute_features(at, features)).filter(F.col("score") > threshold)
+        passed = _passed(model, bars, wanted, features, threshold)
         return candidates.join(passed.select("symbol", "pos"), ["symbol", "pos"], "left_semi").select(*candidates.columns)
 
     return keep
 
 
+def _passed(model: PipelineModel, bars: DataFrame, wanted: DataFrame, features: Feature, threshold: float) -> DataFrame:
+    at = bars.join(wanted, ["symbol", "pos"], "left_semi")
+    return score(model, compute_features(at, features)).filter(F.col("score") > threshold)
+
+
+def keep_scored_by_run(
+    model: PipelineModel, bars: DataFrame, runs: Sequence[Run], features: Feature, threshold: float = 0.0,
+    from_time: int | None = None, **indicators,
+):
+    """A candidate filter for backtests in which every run is judged by features of its own periods.
+
+    Features and scores are kept by (period set, symbol, position): an indicator table per distinct set of
+    entry, exit and range period, in which a bar is scored once for all runs of the set. ``indicators`` sets the other
+    periods. Entries before ``from_time``, the end of what the model learned from, are not made.
+    """
+    sets = list(dict.fromkeys((r.entry_period, r.exit_period, r.atr_period) for r in runs))
+    number = F.create_map(*[F.lit(x) for r in runs for x in (r.run_id, sets.index((r.entry_period, r.exit_period, r.atr_period)))])
+
+    def keep(candidates: DataFrame) -> DataFrame:
+        named = cut(candidates.withColumn("_set", F.try_element_at(number, F.col("run_id"))))
+        passed = None
+        for i, (entry, exit_, atr) in enumerate(sets):
+            wanted = named.filter(F.col("_set") == i).select("symbol", "pos").distinct()
+            table = add_indicators(bars, entry, exit_, atr, **indicators)
+            table = table if from_time is None else table.filter(F.col("open_time") >= from_time)
+            own = _passed(model, table, wanted, features, threshold).select(F.lit(i).alias("_set"), "symbol", "pos")
+            passed = own if passed is None else passed.unionByName(own)
+        return named.join(passed, ["_set", "symbol", "pos"], "left_semi").select(*candidates.columns)
+
+    return keep
+
+
 def cross_validate(
     folds: DataFrame, n_splits: int, target: str = "y_norm", features: Sequence[str] | None = None, **params
 ) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkbars.session import cut
+
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -90,6 +92,27 @@ def running(
     return joined.select(*[c for c in df.columns if c not in replaced], *outs)
 
 
+RANGE_BITS = 33  # of a monotonically increasing id: the row's place inside its range
+
+
+def range_index(df: DataFrame, order: Sequence[str], out: str = "row_index") -> DataFrame:
+    """Gap-free index from 0 over the whole table along ``order``, NULL first.
+
+    Rows are dealt out by ranges of ``order`` and counted inside their range, so it does not matter how many share a
+    time; only one row per range is ordered globally. Rows that are equal in ``order`` should not occur: which of
+    them comes first is not defined.
+    """
+    by = [F.col(c).asc_nulls_first() for c in order]
+    at = F.monotonically_increasing_id().alias("_at")
+    sorted_ = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", at))
+    part = F.shiftright("_at", RANGE_BITS)
+    across = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ranges = sorted_.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    offsets = ranges.select("_part", (F.coalesce(F.sum("_n").over(across), F.lit(0)) - F.col("_first")).alias("_shift"))
+    joined = sorted_.join(offsets, part == F.col("_part"))
+    return joined.select(*[c for c in df.columns if c != out], (F.col("_at") + F.col("_shift")).cast("long").alias(out))
+
+
 def row_index(
     df: DataFrame,
     keys: Sequence[str],

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkbars.schema import LEDGER_COLUMNS, require_columns
-from sparkbars.sources.bars import csv_export_rows
+from sparkbars.session import cut
+from sparkbars.sources.bars import csv_export_rows, merge_increments
 
 
 def write_bars_csv(bars: DataFrame, path: str, start_ms: int | None = None, end_ms: int | None = None) -> None:
@@ -16,6 +17,29 @@ def write_bars_csv(bars: DataFrame, path: str, start_ms: int | None = None, end_
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
+def merge_into(path: str, *batches: DataFrame) -> None:
+    """Merges increments, oldest first, into bars stored by symbol and month; other folders are not touched.
+
+    ``path`` holds one folder per symbol and month (UTC). Only folders that a batch has rows of are read and written again, as a whole, by
+    dynamic partition overwrite; a stored row counts as older than any batch. A path that does not exist is made.
+    """
+    spark = batches[0].sparkSession
+    month = F.date_format(F.timestamp_millis("open_time"), "yyyy-MM").alias("month")
+    stamped = [b.withColumn("batch_seq", F.lit(i + 1).cast("long")) for i, b in enumerate(batches)]
+    fresh = cut(merge_increments(*stamped).drop("datetime").select("*", month))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = fresh
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        stored = spark.read.schema(fresh.schema).parquet(path)
+        # one row per folder with news, which prunes the folders that are read
+        touched = fresh.select("symbol", "month").distinct()
+        old = stored.join(touched, ["symbol", "month"], "left_semi").withColumn("batch_seq", F.lit(0).cast("long"))
+        both = merge_increments(old.drop("month"), fresh.drop("month").withColumn("batch_seq", F.lit(1).cast("long")))
+        rows = cut(both.drop("datetime").select("*", month))  # written before its source is replaced
+    sorted_ = rows.repartition("symbol", "month").sortWithinPartitions("symbol", "month", "open_time")
+    sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "month").parquet(path)
+
+
 def write_dataset(dataset: DataFrame, path: str) -> None:
     """Dataset as Parquet, one folder per symbol; rows of a symbol are spread over several files by time."""
     spread = dataset.repartitionByRange("symbol", "pos").sortWithinPartitions("symbol", "pos")

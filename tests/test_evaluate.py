@@ -130,3 +130,16 @@ def test_research_run(spark, tmp_path):
     assert M.model_features(again) == names == M.model_features(out.model)
     a = M.score(out.model, out.dataset).select(F.sum("score")).first()[0]
     assert M.score(again, out.dataset).select(F.sum("score")).first()[0] == pytest.approx(a)
+
+
+def test_rows_of_one_day_are_spread(spark):
+    """All rows share a time: they are still dealt out over many ranges, and numbered by symbol and position."""
+    rows = spark.range(40_000).select(
+        F.lit(1_700_000_000_000).alias("event_time"), F.concat(F.lit("S"), F.col("id") % 7).alias("symbol"), (F.col("id") * 37 % 40_000).alias("pos"))
+    out = V.time_index(rows)
+    got = out.toPandas().sort_values("row_index")
+    assert got.row_index.tolist() == list(range(40_000))
+    assert got[["symbol", "pos"]].values.tolist() == sorted(got[["symbol", "pos"]].values.tolist())
+    name = lambda c: F.regexp_extract(F.input_file_name(), "part-[0-9]+", 0)
+    ranges = out.select("row_index", name(0).alias("file")).groupBy("file").count().collect()
+    assert len(ranges) >= 4 and max(r["count"] for r in ranges) < 20_000

@@ -1,4 +1,5 @@
 import glob
+import pathlib
 from types import SimpleNamespace
 
 import pandas as pd
@@ -10,6 +11,7 @@ from sparkbars.schema import CSV_COLUMNS, LEDGER_COLUMNS
 from sparkbars.session import CHECKPOINT_DIR, cut, scratch_root
 from sparkbars.sources import bars as B
 from sparkbars.sources import sinks
+from sparkbars.sources.bars import merge_increments
 from tests.data import frame, walk
 
 
@@ -146,3 +148,25 @@ def test_cluster_without_shared_folder_is_refused():
     )
     with pytest.raises(ValueError):
         scratch_root(unset)
+
+
+def test_increments_touch_only_their_folders(spark, tmp_path):
+    """Two symbols over three months; an increment changes one month of one symbol and adds another month."""
+    day = 86_400_000
+    start = 1_704_067_200_000  # 2024-01-01
+    rows = [(s, start + i * day, float(i)) for s in "AB" for i in range(75)]
+    bars = spark.createDataFrame(rows, "symbol string, open_time long, close double")
+    path = str(tmp_path / "bars")
+    sinks.merge_into(path, bars)
+    files = lambda: {str(f.relative_to(path)) for f in pathlib.Path(path).rglob("*.parquet")}
+    before = files()
+    assert {f.split("/part")[0] for f in before} == {f"symbol={s}/month=2024-0{m}" for s in "AB" for m in (1, 2, 3)}
+    first = spark.createDataFrame([("A", start + 40 * day, -1.0), ("A", start + 95 * day, 95.0)], bars.schema)
+    second = spark.createDataFrame([("A", start + 40 * day, -2.0)], bars.schema)
+    sinks.merge_into(path, first, second)
+    after = files()
+    kept = {f for f in before if "symbol=A/month=2024-02" not in f}
+    assert kept <= after and not (before - kept) & after
+    got = sorted(map(tuple, spark.read.parquet(path).select("symbol", "open_time", "close").collect()))
+    want = sorted(map(tuple, merge_increments(bars, first, second).select("symbol", "open_time", "close").collect()))
+    assert got == want and ("A", start + 40 * day, -2.0) in got and len(got) == 151
