@@ -14,7 +14,8 @@ The ranks are one file of bounded size, read on the driver and broadcast. Each t
 bounded memo of pre-tokens it has seen.
 
 Defined results: a NULL text is encoded as an empty one; ids of no known token make
-``decode`` raise; text is never normalised, so decoding gives the bytes back.
+``decode`` raise; text is never normalised, so decoding gives the bytes back; repeated rows are encoded one by one, an
+empty table gives no rows, and very long texts are encoded whole.
 """
 
 from __future__ import annotations

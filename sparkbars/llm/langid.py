@@ -7,7 +7,8 @@ their log-probabilities are summed per text.
 
 Defined results: a NULL text or one without a letter is ``und`` with score 0; with no
 labelled row at all every text is ``und``; rows without a language teach nothing; repeated
-rows count as often as they appear; equal scores go to the language that sorts first.
+rows count as often as they appear; equal scores go to the language that sorts first; very long texts are judged
+whole; an empty table gives no rows; extra columns stay, whatever they are called.
 """
 
 from __future__ import annotations

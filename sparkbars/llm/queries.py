@@ -88,15 +88,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN listed USING (doc_id)
 """)
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = F.col("contamination")
-    judged = decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contamination")
-    items = decontaminate.items_hit(found)
-    return judged.select(
-        "doc_id", found["n_words"].alias("n_words"), decontaminate.hit_words(found).alias("n_hit"), items.alias("items")
-    ).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    judged = cut(decontaminate.find_hits(docs, bench).select(
+        "doc_id", found["n_words"].alias("n_words"), decontaminate.hit_words(found, "spans").alias("n_hit"), found["windows"].alias("windows")))
+    named = judged.withColumn("own_set", decontaminate.signature(F.col("windows")))
+    listed = named.join(decontaminate.items_of(judged, bench), F.col("own_set") == F.col("set"), "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return listed.select(
+        "doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

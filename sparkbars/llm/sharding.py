@@ -11,7 +11,8 @@ such a bucket, as deep as the hash and still too large, is dealt into slices tha
 running number. Only a single row that is larger than the limit stays over it, alone, and is marked.
 
 Defined results: a NULL id or text hashes like a value of its own, a NULL text has 0 bytes;
-an empty table has no shards; which of several equal rows goes to which slice is arbitrary.
+an empty table has no shards; which of several equal rows goes to which slice is arbitrary; a text longer than the
+limit is a shard or slice of its own, whole, and marked as over the limit; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ traverses the remaining levels, many node pairs at a time.
 Defined results: words are separated by ASCII blanks; a text of fewer words than a shingle
 is one shingle; a NULL or blank text has fingerprint zero, which links like any other.
 Equal fingerprints always link, also among repeated rows. Only distinct fingerprints are
-compared, so copies cost nothing beyond their own row.
+compared, so copies cost nothing beyond their own row. Very long texts are read whole; an empty table gives no rows;
+extra columns stay, whatever they are called.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ bounded memo. The tokenizer file has a bounded size, is read on the driver and b
 
 Defined results: a NULL or empty text has 0 bytes and 0 tokens; strings of special tokens
 inside a text count as that one token, as the library does by default; repeated rows are
-counted one by one.
+counted one by one; an empty table gives no rows; extra columns stay, whatever they are called.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ positives and each from its own share of unlabelled texts; their weights are ave
 Bounds: about ``positives`` and ``unlabelled`` rows are drawn by a hash of the id, all of them if there
 are fewer. Everything else covers all rows. Defined results: a NULL text or one without a
 word has the margin of the constant alone; without any positive example every score is the prior, 0 if nothing is labelled;
-repeated ids are drawn together; rows without an id teach nothing.
+repeated ids are drawn together; rows without an id teach nothing; very long texts are scored whole; an empty table
+gives no rows; other columns than the ones named are ignored, whatever they are called.
 """
 
 from __future__ import annotations

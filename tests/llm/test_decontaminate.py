@@ -73,3 +73,29 @@ def test_remove_and_empty_tables(spark):
     assert sorted(tuple(r) for r in decontaminate.remove(docs, bench).select("doc_id", "contamination").collect()) == [(1, 1), (3, 3)]
     assert decontaminate.remove(docs, bench.filter("false")).count() == 4
     assert decontaminate.remove(docs.filter("false"), bench).collect() == []
+
+
+def test_a_shared_window_stays_linear(spark, tmp_path):
+    """One window in 1,000 items and 1,000 texts: a text carries the window once, and the items are found once for all of them."""
+    shared = " ".join(f"s{k}" for k in range(10))
+    path = documents(tmp_path, [f"own{i} {shared}" for i in range(1000)])
+    folder(path, benchmark=(BENCHMARK, [(i, f"{shared} item{i}") for i in range(1000)]))
+    docs, bench = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "benchmark"))
+    hits = decontaminate.find_hits(docs, bench).select("contamination.*").collect()
+    assert all(len(r["windows"]) == 1 and [tuple(x) for x in r["spans"]] == [(1, 10)] for r in hits)
+    sets = decontaminate.items_of(decontaminate.find_hits(docs, bench).select("contamination.windows"), bench).collect()
+    assert len(sets) == 1 and sets[0]["items"] == sorted(map(str, range(1000)))
+    rows = op4_decontaminate(spark, path).collect()
+    assert {(r["n_words"], r["n_hit"], r["n_items"]) for r in rows} == {(11, 10, 1000)}
+
+
+def test_very_long_text_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(9)
+    item = [f"i{k}" for k in range(14)]
+    words = [f"w{rng.randrange(5000)}" for _ in range(400_000)]
+    words[300_000:300_000] = item
+    docs = spark.createDataFrame([(1, " ".join(words), 5, 6)], "doc_id long, text string, block_0 int, windows int")
+    bench = spark.createDataFrame([(7, " ".join(item), "x")], "item_id long, text string, window string")
+    row = decontaminate.find_hits(docs, bench).first()
+    assert [tuple(x) for x in row["contamination"]["spans"]] == [(300_000, 14)] and (row["block_0"], row["windows"]) == (5, 6)
+    assert len(row["contamination"]["windows"]) == 5 and decontaminate.remove(docs, bench).count() == 0

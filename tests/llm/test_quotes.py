@@ -88,3 +88,12 @@ def test_second_hash_of_a_passage_reads_the_passage_itself(spark):
     assert h1 == xxhash.xxh64_intdigest(text, 42)
     # seeded by the first hash, the second would collide whenever the first does
     assert h2 != xxhash.xxh64_intdigest(one, h1) and h2 == xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(one, 42))
+
+
+def test_very_long_texts_and_equal_passages(spark):
+    long = "\n".join(f"Sentence number {i} of a very long message." for i in range(20_000))
+    rows = [(1, 0, "user", long), (1, 1, "user", long), (1, 2, "user", "> Sentence number 19999 of a very long message.\nYes, that one."),
+            (1, 3, "assistant", "> Yes, that one.\nok"), (1, 3, "assistant", "> Yes, that one.\nok")]
+    got = reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["turn"], r["parent_turn"], r["n_links"]) for r in got if r["turn"] > 1) == [(2, 0, 1), (3, 2, 1), (3, 2, 1)]
+    assert {len(r["own_text"]) for r in got if r["turn"] < 2} == {len(long)}

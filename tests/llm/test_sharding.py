@@ -60,3 +60,11 @@ def test_equal_rows_are_dealt_into_slices(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert sharding.assign(some(spark, ["x"]).filter("false"), 20).collect() == []
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000, "a", 1, 2), (2, "short", "b", 1, 2), (3, None, "c", 1, 2)],
+                               "doc_id long, text string, shard string, slice int, n_bytes int")
+    rows = {r["doc_id"]: r for r in sharding.assign(df, 1 << 20).collect()}
+    assert rows[1]["over_limit"] and rows[1]["shard_bytes"] == rows[1]["n_bytes"] == 3_000_000 and rows[1]["shard_rows"] == 1
+    assert not rows[2]["over_limit"] and rows[3]["n_bytes"] == 0

@@ -125,3 +125,7 @@ def test_components_of_random_graphs(spark):
 def test_fingerprint_column_is_a_long(spark):
     got = spark.createDataFrame([("x",)], "t string").select(simhash.fingerprint(F.col("t")).alias("f"))
     assert got.dtypes == [("f", "bigint")]
+
+
+def test_query_on_an_empty_table(spark, tmp_path):
+    assert op3_simhash_components(spark, documents(tmp_path, [])).collect() == []
