@@ -262,7 +262,7 @@ def ml_dataset_barriers(spark, sf):
       count(*) FILTER (barrier_hit = 'upper') AS n_upper, count(*) FILTER (barrier_hit = 'lower') AS n_lower,
       count(*) FILTER (barrier_hit = 'timeout') AS n_timeout,
       round(avg(actual_return), 6) + 0.0 AS mean_actual_return, round(median(actual_return), 6) + 0.0 AS median_actual_return,
-      round(avg(n_bars_held), 6) AS mean_n_bars_held FROM lab""",
+      round(avg(n_bars_held), 6) AS mean_n_bars_held, '""" + ",".join(FEATURES.split()) + """' AS feature_names FROM lab""",
 )
 def dataset_meta(spark, sf):
     bars = _event_table(spark, sf)
@@ -274,7 +274,7 @@ def dataset_meta(spark, sf):
         *[at("label_counts", k).alias(n) for k, n in ((1, "n_up"), (-1, "n_down"), (0, "n_flat"))],
         F.coalesce(F.try_element_at("label_rates", F.lit(1)), F.lit(0.0)).alias("up_rate"),
         *[at("barrier_hit_counts", b).alias(f"n_{b}") for b in ("upper", "lower", "timeout")],
-        "mean_actual_return", "median_actual_return", "mean_n_bars_held",
+        "mean_actual_return", "median_actual_return", "mean_n_bars_held", F.array_join("feature_names", ",").alias("feature_names"),
     ))
 
 

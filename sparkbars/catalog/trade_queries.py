@@ -564,10 +564,12 @@ cmd AS (
     "order_admission",
     ctes(_ORDER_SQL, """
 state AS (
-  SELECT *, coalesce(position, 0) AS p, coalesce(pending, false) AS pend, floor(value / 50 * 1000) / 1000 AS size FROM cmd WHERE action IS NOT NULL),
+  SELECT *, coalesce(position, 0) AS p, coalesce(pending, false) AS pend, position IS NULL OR pending IS NULL AS unsure,
+         floor(value / 50 * 1000) / 1000 AS size FROM cmd WHERE action IS NOT NULL),
 reasons AS (
   SELECT *, action IN ('BUY', 'SELL') AS opening,
-    CASE WHEN action IN ('BUY', 'SELL') AND abs(p) >= 0.001 THEN 'in_position'
+    CASE WHEN unsure THEN 'unknown_state'
+         WHEN action IN ('BUY', 'SELL') AND abs(p) >= 0.001 THEN 'in_position'
          WHEN action IN ('BUY', 'SELL') AND pend THEN 'pending_order'
          WHEN action IN ('BUY', 'SELL') AND size <= 0 THEN 'no_size'
          WHEN action = 'CLOSE_LONG' AND p < 0.001 THEN 'no_long'
@@ -594,8 +596,7 @@ def order_admission(spark, sf):
         rows, ["user_id"], "_day", "us",
         [Running("position", "last", F.col("_moved")), Running("pending", "last", F.col("_pending"))],
     ).filter("action IS NOT NULL")
-    position = F.coalesce("position", F.lit(0.0))
-    pending = F.coalesce("pending", F.lit(False))
+    position, pending = F.col("position"), F.col("pending")  # NULL for a user without such an event so far
     size = Z.floor_quantity(F.col("value") / 50)
     out = known.select(
         "user_id", "event_id", "action", O.admission(F.col("action"), position, pending, size).alias("a"),

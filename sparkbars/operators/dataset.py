@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkbars.functions.features import Feature, compute_features, feature_names
 from sparkbars.operators.labels import Labeler, event_rows
 from sparkbars.operators.ranks import quantiles
-from sparkbars.schema import DATASET_META_COLUMNS, REQUIRED_PRICE_COLUMNS, require_columns
+from sparkbars.schema import DATASET_META_COLUMNS, NON_FEATURE_COLUMNS, REQUIRED_PRICE_COLUMNS, require_columns
 
 
 def align_events(bars: DataFrame, events: DataFrame, signal: str = "signal") -> DataFrame:
@@ -48,11 +51,14 @@ def features_with_labels(
     return compute_features(events, features).join(labeler(bars, events), ["symbol", "pos"], "left")
 
 
-def dataset_meta(dataset: DataFrame, bars: DataFrame) -> DataFrame:
+def dataset_meta(dataset: DataFrame, bars: DataFrame, config: Mapping | None = None) -> DataFrame:
     """One summary row; for no events every count is 0 and the maps are empty.
 
-    The maps hold every label and barrier that occurs, in order.
+    The maps hold every label and barrier that occurs, in order. ``feature_names`` are the features in dataset order, ``config``
+    is the configuration that made the dataset, as JSON, NULL where none is given.
     """
+    names = [c for c in dataset.columns if c not in NON_FEATURE_COLUMNS and c not in ("symbol", "pos")]
+    described = None if config is None else json.dumps(config, default=str, sort_keys=True)
     n = F.count(F.lit(1))
     stats = dataset.agg(
         n.alias("n_events"),
@@ -80,6 +86,8 @@ def dataset_meta(dataset: DataFrame, bars: DataFrame) -> DataFrame:
         "mean_actual_return",
         median.alias("median_actual_return"),
         "mean_n_bars_held",
+        F.array(*[F.lit(c) for c in names]).cast("array<string>").alias("feature_names"),
+        F.lit(described).cast("string").alias("config"),
     )
 
 

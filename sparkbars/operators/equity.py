@@ -10,10 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkbars.operators.labels import last_positions
 from sparkbars.operators.running import Running, running
@@ -36,70 +35,62 @@ def _unrealized(side: Column, close: Column, entry: Column, size: Column) -> Col
     return side * (close - entry) * size
 
 
-_BLOCK_STATS = T.StructType([
-    T.StructField(n, T.DoubleType())
-    for n in ("highest", "lowest", "worst", "last_equity", "ret_sum", "ret_sq")
-])
-
-
-@F.pandas_udf(_BLOCK_STATS)
-def _block_stats(
-    closes: pd.Series, before: pd.Series, lo: pd.Series, hi: pd.Series, capital: pd.Series,
-    units: pd.Series, entry: pd.Series, exit_equity: pd.Series, uncounted: pd.Series,
-) -> pd.DataFrame:
-    """Equity of one trade over the bars ``lo..hi`` of one block: extremes, worst fall inside, returns."""
-    out = np.empty((len(closes), 6))
-    for i, (c, b, a, z, cap, q, e, x, skip) in enumerate(
-        zip(closes, before, lo, hi, capital, units, entry, exit_equity, uncounted, strict=True)
-    ):
-        prices = np.concatenate(([c[a - 1] if a > 0 else b], c[a:z + 1]))
-        equity = cap + q * (prices - e)
-        earlier = equity[:-1].copy()
-        equity = equity[1:]
-        if not np.isnan(x):
-            equity[-1] = x
-        peak = np.maximum.accumulate(equity)
-        counted = slice(max(int(skip), 0), None)
-        rise = equity[counted] / earlier[counted] - 1.0
-        out[i] = (
-            equity.max(), equity.min(), ((equity - peak) / peak).min(), equity[-1], rise.sum(), (rise * rise).sum()
-        )
-    return pd.DataFrame(out, columns=_BLOCK_STATS.names)
+_STATS = ("highest", "lowest", "worst", "last_equity", "ret_sum", "ret_sq")
+_PIECE = ["run_id", "symbol", "exit_pos", "pos"]
+
+
+def _piece_stats(prices: np.ndarray, capital: float, units: float, entry: float, exit_equity: float, skip: int) -> tuple:
+    """Equity of one trade over some bars: extremes, worst fall inside, last value, returns; ``prices`` begin one bar earlier."""
+    equity = capital + units * (prices - entry)
+    earlier = equity[:-1].copy()
+    equity = equity[1:]
+    if not np.isnan(exit_equity):
+        equity[-1] = exit_equity
+    peak = np.maximum.accumulate(equity)
+    counted = slice(max(skip, 0), None)
+    rise = equity[counted] / earlier[counted] - 1.0
+    return equity.max(), equity.min(), ((equity - peak) / peak).min(), equity[-1], rise.sum(), (rise * rise).sum()
+
+
+def _block_stats(key, pieces: pa.Table, closes: pa.Table) -> pa.Table:
+    """Statistics of all trades that hold over one block of bars."""
+    closes = closes.sort_by("pos")
+    values = closes["close"].to_numpy()
+    before = closes["prev_close"][0].as_py() if len(closes) else None
+    known = np.concatenate(([np.nan if before is None else before], values))
+    columns = [pieces[c].to_numpy() for c in ("_lo", "_hi", "capital_before", "_units", "entry_price", "_exit_equity", "_skip")]
+    rows = [_piece_stats(known[lo : hi + 2], *rest[:-1], int(rest[-1])) for lo, hi, *rest in zip(*columns)]
+    stats = np.array(rows, np.float64).reshape(-1, len(_STATS))
+    return pa.table([*[pieces[c] for c in _PIECE], *map(pa.array, stats.T)], [*_PIECE, *_STATS])
 
 
 def trade_blocks(trades: DataFrame, bars: DataFrame, runs: Sequence[Run], block: int = BLOCK_ROWS) -> DataFrame:
     """Equity statistics of every trade per block of bars, instead of one row per bar and run.
 
-    Covers the bars after an entry up to its exit (or the end of data). Closes travel as one
-    array per block, which holds ``block`` values at most.
+    Covers the bars after an entry up to its exit (or the end of data). The closes of a block, ``block`` values at
+    most, meet the trades of all runs that hold over it and travel once.
     """
     held = trades.filter("status <> 'skipped'").join(last_positions(bars), "symbol").select(
         "run_id", "symbol", "side", "entry_price", "size", "capital_before", "capital_after", "skipped_before",
         "exit_pos", (F.col("entry_pos") + 1).alias("_from"), F.coalesce("exit_pos", "last_pos").alias("_to"),
     ).filter("_from <= _to")
     spread = held.withColumn("_blk", F.explode(F.expr(f"sequence(_from div {block}, _to div {block})")))
-    # Positions are dense, so sorting a block's (pos, close) pairs puts every close at its offset.
-    arrays = bars.groupBy("symbol", F.expr(f"pos div {block}").alias("_blk")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "close", "prev_close"))).alias("_rows")
-    ).select("symbol", "_blk", F.col("_rows.close").alias("_closes"), F.col("_rows")[0]["prev_close"].alias("_before"))
     start = F.greatest(F.col("_from"), F.col("_blk") * block)
     end = F.least(F.col("_to"), (F.col("_blk") + 1) * block - 1)
-    # Every block exists; the outer join keeps the exploded trades from being taken for a small side.
-    joined = spread.join(arrays, ["symbol", "_blk"], "left").withColumns({"_start": start, "_end": end})
     # Point 0 of the curve is the initial capital; returns count from point warm-up + 1 on.
     first_counted = 2 * _warmup_of(runs) + F.col("skipped_before")
-    stats = _block_stats(
-        F.col("_closes"),
-        F.coalesce("_before", F.lit(float("nan"))),
-        F.col("_start") - F.col("_blk") * block,
-        F.col("_end") - F.col("_blk") * block,
-        "capital_before",
-        F.col("side") * F.col("size"),
-        "entry_price",
-        F.when(F.col("_end") == F.col("exit_pos"), F.col("capital_after")).otherwise(F.lit(float("nan"))),
-        first_counted - F.col("_start"),
+    pieces = spread.select(
+        "run_id", "symbol", "exit_pos", start.alias("pos"), "_blk", "capital_before", "entry_price",
+        (start - F.col("_blk") * block).alias("_lo"), (end - F.col("_blk") * block).alias("_hi"),
+        (F.col("side") * F.col("size")).alias("_units"),
+        F.when(end == F.col("exit_pos"), F.col("capital_after")).otherwise(F.lit(float("nan"))).alias("_exit_equity"),
+        (first_counted - start).alias("_skip"),
     )
-    return joined.withColumn("s", stats).select("run_id", "symbol", "exit_pos", F.col("_start").alias("pos"), "s.*")
+    # Positions are dense, so a block's closes in order are at their offsets.
+    closes = bars.select(F.col("symbol").alias("symbol"), F.expr(f"pos div {block}").alias("_blk"), "pos", "close", "prev_close")
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in _PIECE], *[f"{c} double" for c in _STATS]])
+    return pieces.groupBy("symbol", "_blk").cogroup(closes.groupBy("symbol", "_blk")).applyInArrow(_block_stats, schema)
 
 
 def equity_curve(

@@ -72,7 +72,7 @@ def run_research(spark: SparkSession, cfg: Mapping, out_dir: str) -> Research:
     train_key = "train_range" if "train_range" in data else "date_range"
     bars, rows = config_dataset(spark, cfg, train_key)
     write_dataset(rows, f"{out_dir}/dataset")
-    meta = D.dataset_meta(rows, bars)
+    meta = D.dataset_meta(rows, bars, cfg)
     yearly = D.period_stats(rows) if "y_norm" in rows.columns else None
     test, test_yearly = None, None
     if "test_range" in data:

@@ -21,6 +21,7 @@ NON_FEATURE_COLUMNS = [
     "label", "barrier_hit", "exit_idx", "n_bars_held", "entry_price", "exit_price", "actual_return",
     "return_atr", "raw_return", "y_norm", "truncated", "event_time", "side",
 ]
+# First columns of a dataset, in order.
 DATASET_META_COLUMNS = [
     "event_time", "side", "entry_price", "label", "barrier_hit", "exit_idx", "n_bars_held",
     "exit_price", "actual_return", "return_atr", "truncated",
@@ -30,7 +31,7 @@ KLINE_CSV_SCHEMA = T.StructType(
     [T.StructField(c, T.LongType() if c in LONG_COLUMNS else T.DoubleType()) for c in CSV_COLUMNS]
 )
 
-# One bar as a record on a message feed; prices arrive as numbers.
+# Fields of one bar as a record on a message feed; prices arrive as numbers.
 BAR_RECORD_SCHEMA = T.StructType(
     [T.StructField("type", T.StringType()), T.StructField("symbol", T.StringType())]
     + [T.StructField(c, T.LongType() if c in LONG_COLUMNS else T.DoubleType()) for c in CSV_COLUMNS]

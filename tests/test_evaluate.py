@@ -125,6 +125,8 @@ def test_research_run(spark, tmp_path):
     names = ["atr", "atr_pct", "long_intensity", "short_intensity", "vol_ratio", "vol_zscore"]
     n = out.meta.first()["n_events"]
     assert n > 50 and spark.read.parquet(str(tmp_path / "out/dataset")).count() == n
+    meta = out.meta.first()
+    assert meta["feature_names"] == names and "date_range" in meta["config"]
     assert out.yearly.first()["events"] == n and out.ic.first()["n"] == n - int(n * 0.7)
     again = M.load_model(str(tmp_path / "out/trees"))
     assert M.model_features(again) == names == M.model_features(out.model)
