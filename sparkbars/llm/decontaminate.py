@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
 from sparkbars.llm.columns import free_name, only, quoted
@@ -312,7 +313,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     return current
 
 
-@F.arrow_udf("array<binary>")
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
 def windows_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Digests of the distinct windows of an item's text."""
     for batch in batches:
