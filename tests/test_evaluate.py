@@ -141,12 +141,12 @@ def test_rows_of_one_day_are_spread(spark):
     """All rows share a time: they are still dealt out over many ranges, and numbered by symbol and position."""
     rows = spark.range(40_000).select(
         F.lit(1_700_000_000_000).alias("event_time"), F.concat(F.lit("S"), F.col("id") % 7).alias("symbol"), (F.col("id") * 37 % 40_000).alias("pos"))
-    small = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    spark.conf.set(small, "64k")  # else the ranges of so few rows are put together again
+    together = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(together, "false")  # the ranges of so few rows would be put together again
     try:
         out = V.time_index(rows)
     finally:
-        spark.conf.unset(small)
+        spark.conf.unset(together)
     got = out.toPandas().sort_values("row_index")
     assert got.row_index.tolist() == list(range(40_000))
     assert got[["symbol", "pos"]].values.tolist() == sorted(got[["symbol", "pos"]].values.tolist())
