@@ -87,11 +87,13 @@ def path(nodes: DataFrame, keys: Sequence[str], rows: int | None = None) -> Data
     block_of = F.expr(f"index div {rows}")
     node = F.struct("index", "next")
     blocks = nodes.groupBy(*keys, block_of.alias("block")).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    blocks = cut(blocks.select(*keys, "block", F.transform("nodes", lambda n: n["next"]).alias("steps")))
-    last = blocks.agg(F.max("block")).first()[0] or 0
-    entries = blocks.filter("block = 0").select(*keys, F.lit(0).cast("long").alias("index"))
-    if last:
-        entries = _entries(blocks, entries, keys, rows, int(last).bit_length())
+    blocks = blocks.select(*keys, "block", F.transform("nodes", lambda n: n["next"]).alias("steps"))
+    last = (nodes.agg(F.max("index")).first()[0] or 0) // rows
+    if not last:  # every key is one block, which the path enters at its first node
+        return blocks.select(*keys, F.explode(_walked(rows)("block", "steps", F.lit(0).cast("long"))).alias("index"))
+    blocks = cut(blocks)
+    starts = blocks.filter("block = 0").select(*keys, F.lit(0).cast("long").alias("index"))
+    entries = _entries(blocks, starts, keys, rows, int(last).bit_length())
     right = _other(blocks, keys, F.col("block"), F.col("steps"))
     met = entries.join(right, _beside(keys, block_of == F.col("block")))
     return met.select(*keys, F.explode(_walked(rows)("block", "steps", "index")).alias("index"))
