@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sparkbars.streaming.state import use_state_store
+from sparkbars.streaming.state import arrays_of, bucket_of, use_state_store
 
 # Order statuses and time limits.
 OPEN_STATUSES = ["NEW", "PARTIALLY_FILLED"]
@@ -21,17 +21,20 @@ _OUT = (
     "filled_quantity double, reason string, action string, at_ms long"
 )
 _STATE = (
-    "symbol string, side string, quantity double, price double, status string, filled double, "
+    "client_order_id string, symbol string, side string, quantity double, price double, status string, filled double, "
     "attempts int, created_ms long, reported boolean"
 )
+_COLUMNS = ["client_order_id", "ts_ms", "is_update", "status", "filled_quantity", "symbol", "side", "quantity", "price", "attempts"]
+STATUS, FILLED, ATTEMPTS, CREATED, REPORTED = 5, 6, 7, 8, 9  # places in the state of an order
 
 
-class OrderState(StatefulProcessor):
-    """One order: follows its status, reports its end once, decides when it times out.
+class OrderStates(StatefulProcessor):
+    """The orders of a bucket: follows their statuses, reports the end of each once, decides when it times out.
 
     Updates of an order that was never registered are ignored. A timed-out order is
     cancelled and repriced until its attempts are used up, then only cancelled; what
-    the exchange says about that order later is not reported again.
+    the exchange says about that order later is not reported again. A bucket holds one timer, the
+    earliest of its orders; when it expires, all orders that are due by the watermark are settled.
     """
 
     def __init__(self, timeout_ms: int, prune_ms: int, max_attempts: int):
@@ -39,52 +42,82 @@ class OrderState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("order", _STATE)
+        self.state = handle.getValueState("orders", arrays_of(_STATE) + ", timer_ms long")
 
-    def _row(self, key, s, reason, action, at):
-        symbol, side, quantity, price, status, filled = s[:6]
-        return pd.DataFrame([(key[0], symbol, side, quantity, price, status, filled, reason, action, int(at))],
-                            columns=[f.split()[0] for f in _OUT.split(", ")])
+    def _load(self) -> tuple[dict[str | None, list], int | None]:
+        if not self.state.exists():
+            return {}, None
+        *arrays, timer = self.state.get()
+        return {s[0]: list(s) for s in zip(*arrays, strict=True)}, timer
+
+    def _store(self, orders: dict[str | None, list], known_timer: int | None, expired: bool = False) -> None:
+        timer = min((self._next_due(s) for s in orders.values()), default=None)
+        if timer != known_timer or expired:
+            if known_timer is not None and not expired:
+                self.handle.deleteTimer(known_timer)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if orders:
+            self.state.update((*map(list, zip(*orders.values(), strict=True)), timer))
+        elif self.state.exists():
+            self.state.clear()
+
+    def _next_due(self, s) -> int:
+        """When the order times out or, if its end is reported, may be forgotten."""
+        return s[CREATED] + (self.prune_ms if s[REPORTED] else self.timeout_ms)
+
+    @staticmethod
+    def _row(s, reason, action, at):
+        return (*s[: FILLED + 1], reason, action, int(at))
+
+    @staticmethod
+    def _table(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=[f.split()[0] for f in _OUT.split(", ")])
 
     def handleInputRows(self, key, rows, timerValues):
-        s = list(self.state.get()) if self.state.exists() else None
-        inputs = pd.concat(list(rows), ignore_index=True)
-        for r in inputs.sort_values(["ts_ms", "is_update"], kind="stable").itertuples(index=False):
-            if not r.is_update:
+        orders, timer = self._load()
+        inputs = pd.concat([r[_COLUMNS] for r in rows], ignore_index=True)
+        inputs = inputs.sort_values(["ts_ms", "is_update"], kind="stable")
+        found = []
+        for order, ts, is_update, status, filled, symbol, side, quantity, price, attempts in zip(*(inputs[c].tolist() for c in _COLUMNS)):
+            s = orders.get(order)
+            if not is_update:
                 if s is None:
-                    s = [r.symbol, r.side, float(r.quantity), float(r.price), "NEW", 0.0, int(r.attempts), int(r.ts_ms), False]
-                    self.handle.registerTimer(int(r.ts_ms) + self.timeout_ms)
-                    self.handle.registerTimer(int(r.ts_ms) + self.prune_ms)
+                    orders[order] = [order, symbol, side, float(quantity), float(price), "NEW", 0.0, int(attempts), int(ts), False]
                 continue
             if s is None:
                 continue
-            if not s[8] and r.ts_ms - s[7] >= self.timeout_ms:
+            if not s[REPORTED] and ts - s[CREATED] >= self.timeout_ms:
                 # The deadline lies before this update, although both arrived together.
-                yield self._time_out(key, s, s[7] + self.timeout_ms)
-            if r.status in OPEN_STATUSES or r.status in TERMINAL_STATUSES:
-                s[4] = r.status
-            s[5] = float(r.filled_quantity)
-            if r.status in TERMINAL_STATUSES and not s[8]:
-                s[8] = True
-                yield self._row(key, s, "exchange", "report", r.ts_ms)
-        if s is not None:
-            self.state.update(tuple(s))
-
-    def _time_out(self, key, s, at):
-        exhausted = s[6] >= self.max_attempts
-        s[4], s[8] = "CANCELED", True
-        return self._row(key, s, "timeout_exhausted" if exhausted else "timeout",
-                         "cancel" if exhausted else "cancel_reprice", at)
+                found.append(self._time_out(s))
+            if status in OPEN_STATUSES or status in TERMINAL_STATUSES:
+                s[STATUS] = status
+            s[FILLED] = float(filled)
+            if status in TERMINAL_STATUSES and not s[REPORTED]:
+                s[REPORTED] = True
+                found.append(self._row(s, "exchange", "report", ts))
+        self._store(orders, timer)
+        if found:
+            yield self._table(found)
+
+    def _time_out(self, s):
+        exhausted = s[ATTEMPTS] >= self.max_attempts
+        s[STATUS], s[REPORTED] = "CANCELED", True
+        return self._row(s, "timeout_exhausted" if exhausted else "timeout", "cancel" if exhausted else "cancel_reprice",
+                         s[CREATED] + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.state.exists():
-            return
-        s, at = list(self.state.get()), expiredTimerInfo.getExpiryTimeInMs()
-        if not s[8] and s[4] in OPEN_STATUSES and at - s[7] >= self.timeout_ms:
-            yield self._time_out(key, s, s[7] + self.timeout_ms)
-            self.state.update(tuple(s))
-        if s[8] and at - s[7] >= self.prune_ms:
-            self.state.clear()
+        orders, timer = self._load()
+        now = max(expiredTimerInfo.getExpiryTimeInMs() + 1, timerValues.getCurrentWatermarkInMs())
+        found = []
+        for order, s in list(orders.items()):
+            if not s[REPORTED] and s[CREATED] + self.timeout_ms < now:
+                found.append(self._time_out(s))
+            if s[REPORTED] and s[CREATED] + self.prune_ms < now:
+                del orders[order]
+        self._store(orders, timer, expired=True)
+        if found:
+            yield self._table(found)
 
     def close(self) -> None:
         pass
@@ -107,9 +140,7 @@ def stream_orders(
     timed = messages.withColumn("ts_ms", F.unix_millis(F.col(event_time).cast("timestamp"))).withColumn(
         "_event_time", F.col(event_time).cast("timestamp")
     ).withWatermark("_event_time", delay)
-    columns = ["client_order_id", "_event_time", "ts_ms", "is_update", "status", "filled_quantity", "symbol", "side",
-               "quantity", "price", "attempts"]
-    return timed.select(*columns).groupBy("client_order_id").transformWithStateInPandas(
-        statefulProcessor=OrderState(timeout_ms, prune_ms, max_attempts), outputStructType=_OUT,
+    return timed.select(bucket_of("client_order_id").alias("bucket"), "_event_time", *_COLUMNS).groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=OrderStates(timeout_ms, prune_ms, max_attempts), outputStructType=_OUT,
         outputMode="Append", timeMode="EventTime",
     )

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkbars.session import scratch_root
@@ -20,6 +20,23 @@ def use_state_store(spark: SparkSession) -> SparkSession:
     return spark
 
 
+BUCKETS = 512
+
+
+def bucket_of(key: str) -> Column:
+    """The group that holds the state of a key, beside that of many other keys.
+
+    A group costs milliseconds however few its rows are, so a group per key takes hours for millions of keys.
+    The number of buckets belongs to the checkpoint and must not change under it.
+    """
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def arrays_of(fields: str) -> str:
+    """State schema of a bucket: one array per field, an element per key."""
+    return ", ".join(f"{name} array<{kind}>" for name, kind in (f.split() for f in fields.split(", ")))
+
+
 def sorted_rows(
     frames: Iterable[pd.DataFrame], columns: Sequence[str], order: Sequence[str], ascending: Sequence[bool] | bool = True
 ) -> Iterator[tuple]:

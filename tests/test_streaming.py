@@ -11,7 +11,7 @@ from sparkbars.streaming.accounts import stream_accounts
 from sparkbars.streaming.entries import Edge, Rule, stream_channels, stream_entries
 from sparkbars.streaming.order_states import stream_orders
 from sparkbars.streaming.routing import route
-from sparkbars.streaming.state import replay_of, run_counted
+from sparkbars.streaming.state import BUCKETS, replay_of, run_counted
 from tests.data import frame, walk
 
 RULE = Rule(12, 6, 8, 2.0, 0.0)
@@ -201,6 +201,33 @@ def test_accounts_over_batches(spark, tmp_path):
     assert list(got.balance) == [100, 100, 90, 90, 90, 90]
 
 
+def groups_and_rows(stream, base):
+    """What a stream wrote over all its triggers, and the most state rows it held."""
+    q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"])
+    return held, stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out").collect()
+
+
+def test_orders_share_groups(spark, tmp_path):
+    n = 3 * BUCKETS
+    rows = [_order(f"o{i}", i % 50, attempts=i % 3) for i in range(n)]
+    rows += [_order(f"o{i}", 60 + i % 7, "FILLED", float(i)) for i in range(0, n, 2)]
+    late = [_order(None, 9000), _order("last", 10_000)]
+    for batch in (rows, late):
+        spark.createDataFrame(batch, ORDER_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(ORDER_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    held, got = groups_and_rows(stream_orders(stream), str(tmp_path))
+    # a row of state and two of its timer each
+    assert held <= 3 * BUCKETS
+    start = 1704067200000
+    want = {f"o{i}": ("report", float(i), start + 1000 * (60 + i % 7)) if i % 2 == 0 else
+            ("cancel" if i % 3 == 2 else "cancel_reprice", 0.0, start + 1000 * (i % 50 + 180)) for i in range(n)}
+    want[None] = ("cancel_reprice", 0.0, start + 9_180_000)
+    assert len(got) == n + 1 and {r["client_order_id"]: (r["action"], r["filled_quantity"], r["at_ms"]) for r in got} == want
+
+
 def test_routing(spark):
     messages = spark.createDataFrame([('{"type":"ack"}',), ('{"type":"kline","symbol":"X","close":1.5}',)], "value string")
     assert [tuple(r) for r in route(messages, "kline", "symbol string, close double").collect()] == [("X", 1.5)]
