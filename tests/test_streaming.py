@@ -228,6 +228,27 @@ def test_orders_share_groups(spark, tmp_path):
     assert len(got) == n + 1 and {r["client_order_id"]: (r["action"], r["filled_quantity"], r["at_ms"]) for r in got} == want
 
 
+def test_accounts_share_groups(spark, tmp_path):
+    schema = "account string, ts_us long, tie long, balance double, position double, entry_price double, stop_price double"
+    n = 3 * BUCKETS
+    names = [None, *[f"u{i}" for i in range(1, n)]]
+    for ts in (10, 30, 20):  # the last trigger is late, but for one account
+        rows = [(a, 100 if ts == 20 and i == 5 else ts, 0, float(ts + i), None, None if i % 2 else float(i), None) for i, a in enumerate(names)]
+        rows += [(a, 11, 0, None, float(i), 7.0, 6.0) for i, a in enumerate(names) if ts == 10]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    held, got = groups_and_rows(stream_accounts(stream), str(tmp_path))
+    assert held <= BUCKETS
+    got = {(r["account"], r["seq"]): (r["ts_us"], r["balance"], r["position"], r["entry_price"], r["stop_price"], r["is_flat"], r["n_late"]) for r in got}
+    want = {}
+    for i, a in enumerate(names):
+        want[a, 1] = (10, 10.0 + i, 0.0, 0.0, 0.0, True, 0)
+        want[a, 2] = (11, 10.0 + i, float(i), 7.0 if i else 0.0, 6.0 if i else 0.0, i == 0, 0)
+        want[a, 3] = (30, 30.0 + i, float(i), want[a, 2][3] if i % 2 else float(i), want[a, 2][4], i == 0, 0)
+    want["u5", 4] = (100, 25.0, 5.0, 7.0, 6.0, False, 0)
+    assert got == want
+
+
 def test_routing(spark):
     messages = spark.createDataFrame([('{"type":"ack"}',), ('{"type":"kline","symbol":"X","close":1.5}',)], "value string")
     assert [tuple(r) for r in route(messages, "kline", "symbol string, close double").collect()] == [("X", 1.5)]
