@@ -1,10 +1,15 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, with candidates from MinHash bands.
+"""Near copies by SimHash fingerprints, linked by the trie self-join, and by MinHash bands for what lies beyond its budget.
 
-Two texts link if their sets of shingles have a similarity of at least ``MIN_SIMILARITY``;
-groups are the connected components of the links. Every distinct text has a sketch of ``BANDS * ROWS`` minima; texts that
+Two texts link if their sets of five-word shingles have an exact Jaccard similarity of at least ``MIN_SIMILARITY``;
+groups are the connected components of the links. Every distinct text has a fingerprint of its shingles. The trie join
+(see ``simhash``) links the fingerprints that differ in few bits; what it links is compared on the whole texts, and what holds makes
+the first groups.
+
+At a similarity of 0.8 fingerprints differ in about 10 bits, more than a trie can prune. So every distinct text also
+has a sketch of ``BANDS * ROWS`` minima, and texts that
 agree in the first ``KEY_ROWS`` minima of a band share a bucket. A pair counts in the first band it shares, and only if
-the sketches agree in ``MIN_ESTIMATE`` of their minima; such candidates are compared on their whole texts. A pair of
-similarity 0.8 shares a bucket with a chance of 0.9996, and then falls below the estimate with less than 0.0001.
+the sketches agree in ``MIN_ESTIMATE`` of their minima; such candidates between different first groups are compared on their whole texts.
+A pair of similarity 0.8 shares a bucket with a chance of 0.9996, and then falls below the estimate with less than 0.0001.
 
 Buckets of up to ``FEW`` texts give all their pairs. Larger ones are cut into slices of ``SLICE`` texts, each with
 the first text of the bucket beside them. First a slice gives a spanning forest of its candidates. Then,
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh64_digest
 
+from sparkbars.llm import simhash
 from sparkbars.llm.columns import free_name, only, quoted
 from sparkbars.llm.components import components
 from sparkbars.session import cut, release
@@ -80,19 +86,24 @@ def minima(hashes: np.ndarray) -> bytes | None:
     return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-SKETCH = T.StructType([T.StructField("print", T.BinaryType()), T.StructField("mins", T.BinaryType())])
+SKETCH = T.StructType([
+    T.StructField("print", T.BinaryType()), T.StructField("fingerprint", T.LongType()), T.StructField("mins", T.BinaryType()),
+])
 
 
 @F.arrow_udf(SKETCH)
 def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Digest of the words of a text column and its minima."""
+    """Digest of the words of a text column, the fingerprint of its shingles (64 bits as a signed long) and their minima."""
     for batch in batches:
-        prints, mins = [], []
+        prints, bits, mins = [], [], []
         for text in batch.cast(pa.binary()):
             words = words_of(text.as_buffer().to_pybytes() if text.is_valid else None)
             prints.append(xxh3_128_digest(b" ".join(words)))
-            mins.append(minima(shingles(words)))
-        yield pa.StructArray.from_arrays([pa.array(prints, pa.binary()), pa.array(mins, pa.binary())], ["print", "mins"])
+            hashes = shingles(words)
+            bits.append(simhash.simhash_of(hashes))
+            mins.append(minima(hashes))
+        signed = pa.array(np.array(bits, np.uint64).view(np.int64))
+        yield pa.StructArray.from_arrays([pa.array(prints, pa.binary()), signed, pa.array(mins, pa.binary())], SKETCH.names)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -200,6 +211,31 @@ def _between(key, mine: pa.Table, other: pa.Table) -> pa.Table:
     return _pairs(u, v)
 
 
+def _fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """(u, v) of the rows whose fingerprints the trie join links.
+
+    Rows of one fingerprint stand beside the first of them, and the first ones of linked fingerprints beside each other.
+    """
+    rows = distinct.filter("mins IS NOT NULL")
+    prints = rows.groupBy(F.col("fingerprint").alias("bits")).agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("n"))
+    prints = cut(prints)
+    mine, other = (prints.select(F.col("bits").alias(f"bits_{s}"), F.col("low").alias(f"low_{s}")) for s in "uv")
+    found = simhash.links(prints.select(F.col("bits").alias("fingerprint")))
+    found = found.join(mine.hint("merge"), F.col("u") == F.col("bits_u")).join(other.hint("merge"), F.col("v") == F.col("bits_v"))
+    found = found.select(F.greatest("low_u", "low_v").alias("u"), F.least("low_u", "low_v").alias("v"))
+    equal = rows.join(prints.filter("n > 1").hint("merge"), F.col("fingerprint") == F.col("bits")).filter("row > low")
+    pairs = cut(found.unionByName(equal.select(F.col("row").alias("u"), F.col("low").alias("v"))).distinct())
+    release(prints)
+    return pairs
+
+
+def _between_groups(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose rows are not in one group of ``known``."""
+    mine, other = (known.select(F.col("its_row").alias(f"row_{s}"), F.col("root").alias(f"root_{s}")) for s in "uv")
+    named = pairs.join(mine.hint("merge"), F.col("u") == F.col("row_u"), "left").join(other.hint("merge"), F.col("v") == F.col("row_v"), "left")
+    return named.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
 def _buckets(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, band, key) of texts that share buckets, and (bucket, n, low, high) of these buckets."""
     width = MINIMUM_BYTES * ROWS
@@ -234,11 +270,15 @@ def _links(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: str,
     """(u, v) of the pairs whose whole texts are similar."""
     pairs = cut(pairs)
     texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), distinct, docs, doc_id, text)
+    # a text that stands beside many is dealt to several tasks
+    deals = cut(pairs.groupBy(F.col("v").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("deals")))
     own = texts.select(F.col("row").alias("u"), F.col("words").alias("own"))
-    other = texts.select(F.col("row").alias("v"), F.col("words").alias("other"))
-    met = pairs.join(own.hint("merge"), "u").join(other.hint("merge"), "v").sortWithinPartitions("v")
+    other = texts.join(deals.hint("merge"), F.col("row") == F.col("hub")).select(
+        F.col("row").alias("v"), F.explode(F.expr("sequence(0L, deals - 1)")).alias("deal"), F.col("words").alias("other"))
+    dealt = pairs.join(deals.hint("merge"), F.col("v") == F.col("hub")).select("u", "v", F.pmod(F.xxhash64("u"), "deals").alias("deal"))
+    met = dealt.join(own.hint("merge"), "u").join(other.hint("merge"), ["v", "deal"]).sortWithinPartitions("v")
     found = cut(met.filter(similar(F.col("own"), F.col("other"))).select("u", "v"))
-    release(pairs, texts)
+    release(pairs, texts, deals)
     return found
 
 
@@ -264,7 +304,10 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def groups(distinct: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(its_row, root) of the rows of ``distinct`` (row, own, mins) that have near copies; texts are read from ``docs``."""
+    """(its_row, root) of the rows of ``distinct`` (row, own, fingerprint, mins) that have near copies; texts are read from ``docs``."""
+    linked = _fingerprint_pairs(distinct)
+    first_links = _links(linked, distinct, docs, doc_id, text)
+    first_groups = _grouped(first_links)
     members, sizes = _buckets(distinct)
     members = cut(members)
     two = sizes.filter("n = 2").select(F.col("high").alias("u"), F.col("low").alias("v"))
@@ -279,7 +322,9 @@ def groups(distinct: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
         distinct.select(F.col("row").alias("its_row"), "mins").hint("merge"), F.col("row") == F.col("its_row")).drop("its_row"))
     first = sliced.filter("row = low").withColumn("slice", F.explode(F.expr("sequence(0L, slices - 1)")))
     forest = sliced.unionByName(first).select("row", "band", "key", "slice", "mins").groupBy("key", "slice").applyInArrow(_forest, PAIRS)
-    links = _links(near.unionByName(forest).distinct(), distinct, docs, doc_id, text)
+    beyond = _between_groups(near.unionByName(forest).distinct(), first_groups)
+    more_links = _links(beyond, distinct, docs, doc_id, text)
+    links = first_links.unionByName(more_links)
     known = _grouped(links)
     # what the first text's group does not hold yet meets the whole bucket
     grouped = cut(sliced.join(known.hint("merge"), F.col("row") == F.col("its_row"), "left").withColumn(
@@ -295,7 +340,7 @@ def groups(distinct: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
         release(known, texts, more)
         known = _grouped(all_links)
         release(all_links)
-    release(members, sizes, pairs, sliced, grouped, counts, links)
+    release(linked, first_links, first_groups, members, sizes, pairs, sliced, grouped, counts, more_links)
     return known
 
 
@@ -321,7 +366,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Documents without an id come last.
     """
     drawn = cut(sketched(docs, doc_id, text))
-    texts = drawn.groupBy("print").agg(F.min("own").alias("own"), F.first("mins").alias("mins"), F.count(F.lit(1)).alias("copies"))
+    texts = drawn.groupBy("print").agg(F.min("own").alias("own"), F.first("fingerprint").alias("fingerprint"), F.first("mins").alias("mins"), F.count(F.lit(1)).alias("copies"))
     distinct = cut(texts.withColumn("row", F.monotonically_increasing_id()))
     known = groups(distinct, docs, doc_id, text)
     named = distinct.select("print", "own", "copies", "row").join(known.hint("merge"), F.col("row") == F.col("its_row"), "left")

@@ -61,8 +61,24 @@ def simhash(text: bytes | None) -> int:
     for at in range(0, n, HASHES_AT_ONCE):
         stop = at + HASHES_AT_ONCE
         digests = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(first[at:stop], last[at:stop])])
-        octets = np.frombuffer(digests, np.uint8).reshape(-1, 8) + _PLACE
-        ones += np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
+        ones += _ones(np.frombuffer(digests, np.uint8))
+    return _majority(ones, n)
+
+
+def simhash_of(digests: np.ndarray) -> int:
+    """The same fingerprint of shingles that are hashed already (digests as they stand in memory)."""
+    ones = np.zeros((8, 8), np.int64)
+    for at in range(0, len(digests), HASHES_AT_ONCE):
+        ones += _ones(digests[at : at + HASHES_AT_ONCE].view(np.uint8))
+    return _majority(ones, len(digests))
+
+
+def _ones(octets: np.ndarray) -> np.ndarray:
+    """How many digests have each bit set, by octet."""
+    return np.bincount((octets.reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * ones.ravel() > n).tobytes(), "big")
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from sparkbars.llm import nearcopies
@@ -113,6 +114,36 @@ def test_template_families_lose_no_link(spark, monkeypatch, few, slice_rows):
     assert got == want and links > 400 and len(set(want)) > 30
 
 
+def plain_fingerprint(text):
+    hashes = [xxh64_intdigest(" ".join(s), 42) for s in plain_set(text)]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_of_the_trie_join_make_groups(spark, monkeypatch):
+    """Without any bucket of minima, texts whose fingerprints the trie join links are still near copies, if their texts are."""
+    real = nearcopies._buckets
+
+    def none(distinct):
+        return tuple(nearcopies.cut(df.filter("false")) for df in real(distinct))
+
+    monkeypatch.setattr(nearcopies, "_buckets", none)
+    monkeypatch.setattr(nearcopies, "SLICE", 4)
+    rng = random.Random(15)
+    texts, want = [], []
+    for i in range(40):
+        base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+        other = changed(rng, base, 1 + i % 12)
+        a, b = (plain_set(t) for t in (base, other))
+        bits = (plain_fingerprint(base) ^ plain_fingerprint(other)).bit_count()
+        linked = bits <= 4 and len(a & b) >= 0.8 * len(a | b)
+        texts += [base, other]
+        want += [2 * i, 2 * i if linked else 2 * i + 1]
+    # equal sets of shingles, so equal fingerprints, in texts that differ: one text stands beside many
+    again = [" ".join([f"r{k}" for k in range(30)] * n) for n in range(2, 20)]
+    want += [len(texts)] * len(again)
+    assert partition(spark, texts + again) == want and 8 < len(set(want[:80])) - 40 < 36
+
+
 def test_very_long_text_clashing_columns_and_a_large_group(spark):
     rng = random.Random(14)
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
